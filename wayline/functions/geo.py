@@ -128,7 +128,7 @@ def encode_number(delta: Column) -> Column:
     def text(z: Column) -> Column:
         groups = F.filter(
             F.transform(
-                F.sequence(F.lit(0), F.lit(12)),
+                F.sequence(F.lit(0), F.lit(6)),  # 35 bits: any degree at 7 decimals
                 lambda i: F.call_function("shiftright", z, i * 5),
             ),
             lambda v: v > 0,

@@ -70,13 +70,16 @@ def without_arrivals(samples: DataFrame) -> DataFrame:
 
 
 def lookup_samples(
-    samples: DataFrame, results: DataFrame, gt: DataFrame, ids: list
+    samples: DataFrame, results: DataFrame, gt: DataFrame, ids: DataFrame
 ) -> DataFrame:
-    """Detail rows of a few samples with their result count and label."""
-    wanted = F.col("sample_id").isin(ids)
-    counts = results.where(wanted).groupBy("sample_id").agg(F.count("*").alias("n_results"))
-    labels = gt.where(wanted).select("sample_id", F.col("instruction").alias("gt_instruction"))
-    return samples.where(wanted).join(counts, "sample_id", "left").join(labels, "sample_id", "left")
+    """Detail rows of the wanted samples with their result count and label."""
+    wanted = ids.select("sample_id").distinct()
+    only = lambda df: df.join(wanted, "sample_id", "left_semi")
+    counts = only(results).groupBy("sample_id").agg(F.count("*").alias("n_results"))
+    labels = gt.select("sample_id", F.col("instruction").alias("gt_instruction"))
+    return (
+        only(samples).join(counts, "sample_id", "left").join(only(labels), "sample_id", "left")
+    )
 
 
 def select_frames(samples: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:

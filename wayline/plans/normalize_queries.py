@@ -13,9 +13,13 @@ from wayline.plans.sqltext import case_of, in_list, strip_sql
 KEY = ["route_id", "step_index"]
 
 
-@query("strip_html", f"""
-SELECT page_id, {strip_sql("regexp_replace(regexp_replace(regexp_replace(html, '(?i)<(?:div|br|p|span)[^>]*>', ' ', 'g'), '<[^>]+>', '', 'g'), ' {2,}', ' ', 'g')".replace('{2,}', '{{2,}}').replace('{{2,}}', '{2,}'))} AS clean_text
-FROM pages""")
+_BARE = (
+    "regexp_replace(regexp_replace(regexp_replace(html, '(?i)<(?:div|br|p|span)[^>]*>', ' ', 'g'), "
+    "'<[^>]+>', '', 'g'), ' {2,}', ' ', 'g')"
+)
+
+
+@query("strip_html", f"SELECT page_id, {strip_sql(_BARE)} AS clean_text FROM pages")
 def _(spark, sf):
     return t.table(spark, sf, "pages").select("page_id", N.strip_html(F.col("html")).alias("clean_text"))
 
@@ -317,14 +321,6 @@ def _(spark, sf):
     )
 
 
-_FILES = "SELECT *, 'results_' || modality || '_' || (ordinal % 7) || '.jsonl' AS file FROM a_results"
-
-
-def _result_files(spark, sf):
-    name = F.concat(F.lit("results_"), F.col("modality"), F.lit("_"), (F.col("ordinal") % 7).cast("string"), F.lit(".jsonl"))
-    return t.results(spark, sf).withColumn("file", name)
-
-
 @query("filter_modality_files", with_views("a_results", """
 SELECT ordinal, file FROM files WHERE file IN (SELECT file FROM (SELECT file, arg_min(modality, ordinal) AS m FROM files GROUP BY file) WHERE m = 'prior')""",
     files="SELECT *, 'results_' || (user_id // 3) || '.jsonl' AS file FROM a_results JOIN (SELECT event_id, user_id FROM events) ON event_id = ordinal"))
@@ -379,10 +375,11 @@ def _(spark, sf):
 @query("sample_lookup", with_views("a_samples a_results a_gt", """
 SELECT s.sample_id, s.route_id, r.n_results, g.instruction AS gt_instruction
 FROM a_samples s LEFT JOIN (SELECT sample_id, COUNT(*) AS n_results FROM a_results GROUP BY sample_id) r USING (sample_id)
-LEFT JOIN a_gt g USING (sample_id) WHERE s.sample_id IN (0, 3, 17, 199)"""))
+LEFT JOIN a_gt g USING (sample_id) WHERE s.sample_id IN (SELECT item_id FROM benchmark)"""))
 def _(spark, sf):
+    ids = t.table(spark, sf, "benchmark").select(F.col("item_id").alias("sample_id"))
     return selection.lookup_samples(
-        t.samples(spark, sf), t.results(spark, sf), t.ground_truth(spark, sf), [0, 3, 17, 199]
+        t.samples(spark, sf), t.results(spark, sf), t.ground_truth(spark, sf), ids
     ).select("sample_id", "route_id", "n_results", "gt_instruction")
 
 
