@@ -216,9 +216,8 @@ def match_flags(action: Column, gt_action: Column, acceptable: Column,
                 change: Column, gt_change: Column) -> dict[str, Column]:
     """Exact comparison of the viewer: no trimming, an open label counts as a match."""
     accepted = F.coalesce(F.array_contains(acceptable, action), F.lit(False))
+    changed = F.coalesce(F.lower(change).isin("yes", "true"), F.lit(False))
     return {
         "action_match": action.eqNullSafe(gt_action) | accepted,
-        "lane_change_match": F.coalesce(
-            F.lower(change).isin("yes", "true") == gt_change, gt_change.isNull()
-        ),
+        "lane_change_match": gt_change.isNull() | (changed == F.coalesce(gt_change, F.lit(False))),
     }

@@ -147,6 +147,28 @@ def total_before(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
     )
 
 
+def with_both_neighbours(
+    df: DataFrame, order: list[str], value: str, before: str, after: str
+) -> DataFrame:
+    """Values of the rows before and after, in the order of the whole table."""
+    placed = _range_sorted(df, order)
+    inside = W.partitionBy("_pid").orderBy("_pos")
+    by_part = W.partitionBy(F.lit(0)).orderBy("_pid")
+    edges = placed.groupBy("_pid").agg(
+        F.min_by(value, "_pos").alias("_first"), F.max_by(value, "_pos").alias("_last")
+    ).select(
+        "_pid", F.lag("_last").over(by_part).alias("_left"), F.lead("_first").over(by_part).alias("_right")
+    )
+    local = placed.withColumns(
+        {"_near_left": F.lag(value).over(inside), "_near_right": F.lead(value).over(inside)}
+    )
+    # one row per range partition: bounded
+    return local.join(F.broadcast(edges), "_pid").select(
+        *df.columns, F.coalesce("_near_left", "_left").alias(before),
+        F.coalesce("_near_right", "_right").alias(after),
+    )
+
+
 def first_by(df: DataFrame, keys: list[str], order: Column, *, last: bool = False) -> DataFrame:
     """One row per key: the first (or last) by ``order``.
 

@@ -123,7 +123,7 @@ NEEDS = {
 }
 
 
-def with_views(names: str, body: str, **extra: str) -> str:
+def with_views(names: str, body: str, /, **extra: str) -> str:
     """``body`` behind the named views; ``extra`` adds views of its own."""
     ordered: list[str] = []
     for name in names.split():
