@@ -66,9 +66,13 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per model answer: ten answers per sample, some of them errors."""
+    return results_of(table(spark, sf_dir, "events"))
+
+
+def results_of(events: DataFrame) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
     kind = F.col("event_type")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         e.alias("ordinal"),
         F.floor(e / 10).cast("bigint").alias("sample_id"),
         _text("co", u % 7, "/m", u % 21).alias("model_id"),
