@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from wayline import fixed
 from wayline.functions.core import WHITE, first_present, indices, let, strip
@@ -28,20 +29,22 @@ def space_tokens(text: Column) -> Column:
     return F.filter(parts, lambda t: t != "")
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    if n == 1:
-        return tokens
-    return let(
-        tokens,
-        lambda t: F.transform(
-            indices(F.size(t) - (n - 1)),
-            lambda i: F.concat_ws(" ", *[F.get(t, i + k) for k in range(n)]),
-        ),
+def longer_grams(shorter: str, tokens: str, n: int) -> Column:
+    """n-grams from the (n-1)-grams and the tokens of the same text, by column name."""
+    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    return F.zip_with(
+        F.slice(shorter, F.lit(1), count), F.slice(tokens, F.lit(n), count),
+        lambda head, last: F.concat(head, F.lit(" "), last),
     )
 
 
+def _repeats(items: Column) -> Column:
+    """Sorted items without one copy of each."""
+    return let(F.sort_array(items), lambda s: F.filter(s, lambda x, i: x == F.get(s, i - 1)))
+
+
 def _numbered(items: Column) -> Column:
-    """Each item with its occurrence number, so that a bag becomes a set."""
+    """Each item of a sorted list with its occurrence number: a bag as a set."""
 
     def number(s: Column) -> Column:
         starts = F.filter(
@@ -60,15 +63,20 @@ def _numbered(items: Column) -> Column:
             ),
         )
 
-    return let(F.array_sort(items), number)
+    return let(items, number)
 
 
 def bag_overlap(a: Column, b: Column) -> Column:
-    """Sum over items of the smaller of both counts."""
-    return F.size(F.array_intersect(_numbered(a), _numbered(b)))
+    """Sum over items of the smaller of both counts.
 
+    Once for every item both have, plus the same sum over the further copies;
+    only those few are numbered.
+    """
+    more = F.array_intersect(_numbered(_repeats(a)), _numbered(_repeats(b)))
+    return F.size(F.array_intersect(a, b)) + F.size(more)
 
-@F.pandas_udf("int")
+
+@F.pandas_udf(IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two token lists.
 
@@ -109,15 +117,20 @@ def with_overlap(
     Columns: {prefix}np, {prefix}nr, {prefix}m1..m4 and {prefix}lcs.  All
     measures below are arithmetic over these.
     """
-    p, r = f"{prefix}p", f"{prefix}r"
-    out = df.withColumns({p: tokens(pred), r: tokens(ref)})
+    name = lambda side, n: f"{prefix}{side}{n}"
+    out = df.withColumns({name("p", 1): tokens(pred), name("r", 1): tokens(ref)})
+    out = out.withColumns({f"{prefix}np": F.size(name("p", 1)), f"{prefix}nr": F.size(name("r", 1))})
+    for n in range(2, max(orders, default=1) + 1):
+        out = out.withColumns(
+            {name(s, n): longer_grams(name(s, n - 1), name(s, 1), n) for s in ("p", "r")}
+        )
     out = out.withColumns(
-        {f"{prefix}np": F.size(p), f"{prefix}nr": F.size(r)}
-        | {f"{prefix}m{n}": bag_overlap(ngrams(F.col(p), n), ngrams(F.col(r), n)) for n in orders}
+        {f"{prefix}m{n}": bag_overlap(F.col(name("p", n)), F.col(name("r", n))) for n in orders}
     )
     if lcs:
-        out = out.withColumn(f"{prefix}lcs", lcs_length(F.col(p), F.col(r)))
-    return out.drop(p, r)
+        out = out.withColumn(f"{prefix}lcs", lcs_length(name("p", 1), name("r", 1)))
+    top = max(orders, default=1)
+    return out.drop(*[name(s, n) for s in ("p", "r") for n in range(1, top + 1)])
 
 
 def rouge_l(prefix: str) -> Column:
@@ -187,7 +200,7 @@ def instruction_metrics(df: DataFrame, pred: Column, ref: Column, prefix: str =
     Without a sentence encoder the two semantic scores equal ROUGE-L.
     """
     out = with_overlap(df, pred, ref, space_tokens, prefix)
-    blank = (strip(F.coalesce(pred, F.lit(""))) == "") | (strip(F.coalesce(ref, F.lit(""))) == "")
+    blank = (F.col(f"{prefix}np") == 0) | (F.col(f"{prefix}nr") == 0)  # no token on a side
     rl = F.bround(rouge_l(prefix), 4)
     scores = {
         "rouge_1": rouge_n(prefix, 1), "rouge_2": rouge_n(prefix, 2), "rouge_l": rl,

@@ -19,9 +19,13 @@ def score_rows(paired: DataFrame, keys: list[str], detailed: bool = True) -> Dat
     Input columns are the answer fields and the same fields with ``gt_`` in
     front.  Null scores mean an open label and drop out of the total.
     """
-    pred_text = strip(F.coalesce("enhanced_instruction", F.lit("")))
-    gt_text = strip(F.coalesce("gt_enhanced_instruction", F.lit("")))
-    base = T.instruction_metrics(paired, pred_text, gt_text, "_i")
+    texts = paired.withColumns(
+        {
+            "_pred": strip(F.coalesce("enhanced_instruction", F.lit(""))),
+            "_truth": strip(F.coalesce("gt_enhanced_instruction", F.lit(""))),
+        }
+    )
+    base = T.instruction_metrics(texts, F.col("_pred"), F.col("_truth"), "_i")
     text_score = T.rouge_l("_i")
     change = lambda c: N.lane_change_flag(F.col(c))
     accept = F.col("acceptable_actions")

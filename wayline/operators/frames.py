@@ -86,6 +86,28 @@ def resolve_step_frames(
     return out.withColumn("resolved", made).drop("_t", "_q")
 
 
+def step_frame_names(
+    steps: DataFrame, profile: str, spacing: float = 5.0,
+    start: float | None = None, end: float | None = None,
+) -> DataFrame:
+    """Adds ``names``: the file names of ``resolve_step_frames`` without any pose."""
+    names = lambda frames: F.transform(frames, lambda f: f["filename"])
+    stored = F.coalesce("frames", F.array().cast(f"array<{FRAME}>"))
+    if profile == "manifest":
+        closest = F.array(fr.closest_frame(stored))
+        none = F.array().cast("array<string>")
+        return steps.withColumn("names", F.when(F.size(stored) > 0, names(closest)).otherwise(none))
+    targets = fr.profile_distances(
+        F.col("distance_m"), F.lit(profile), spacing, None if start is None else F.lit(start), end or 0.0
+    )
+    made = F.transform(
+        targets, lambda t: N.frame_filename(F.col("route_id"), F.col("step_index"), t, F.col("distance_m"))
+    )
+    if profile == "sparse4":
+        made = F.when(F.size(stored) > 0, names(stored)).otherwise(made)
+    return steps.withColumn("names", made)
+
+
 def backfill_params(frames: DataFrame) -> DataFrame:
     """Fill lat, lng and heading of frames: own, else along the path, else the step start.
 

@@ -87,24 +87,40 @@ def points_to_polyline(
 METRES_PER_DEGREE = 111_194.92  # earth radius times one degree
 
 
+CELL_IN_RADII = 3.0  # a point then meets 1 to 4 cells, under three on average
+
+
 def _grid(radius_m: float):
-    """(row of a latitude, column of a longitude in a row, columns of a row).
+    """Cells of roads and the cells a search around a point must visit.
 
-    A cell is at least the radius high and wide, so a point and everything
-    within the radius lie in neighbouring cells.  Columns wrap around the earth.
+    Rows are latitude bands; every band has its own number of columns, which
+    wrap around the earth.  A cell is at least three radii high and wide.
     """
-    step = max(radius_m, 1.0) / METRES_PER_DEGREE * 1.0001
+    reach = max(radius_m, 1.0) / METRES_PER_DEGREE * 1.0001
+    step = reach * CELL_IN_RADII
     row = lambda lat: F.floor(lat / step)
 
+    def edge(r: Column) -> Column:
+        """Latitude of the band edge far from the equator, one band further out."""
+        return F.greatest(F.abs(r - 1), F.abs(r + 2)) * step
+
     def count(r: Column) -> Column:
-        edge = F.greatest(F.abs(r - 1), F.abs(r + 2)) * step  # the row's end far from the equator
-        across = F.floor(360.0 * F.cos(F.radians(edge)) / step)
-        return F.when(edge < 89.9, F.greatest(across, F.lit(1))).otherwise(F.lit(1))
+        across = F.floor(360.0 * F.cos(F.radians(edge(r))) / step)
+        return F.when(edge(r) < 89.9, F.greatest(across, F.lit(1))).otherwise(F.lit(1))
 
     def column(lng: Column, r: Column) -> Column:
-        return F.floor((lng + 180.0) / 360.0 * count(r)) % count(r)
+        """Column number, not yet wrapped."""
+        return F.floor((lng + 180.0) / 360.0 * count(r))
+
+    def rows_around(lat: Column) -> Column:
+        return F.sequence(row(lat - reach), row(lat + reach))
+
+    def columns_around(lng: Column, r: Column) -> Column:
+        wide = reach / F.cos(F.radians(F.least(edge(r), F.lit(89.9))))
+        span = F.sequence(column(lng - wide, r), column(lng + wide, r))
+        return F.array_distinct(F.transform(span, lambda c: F.pmod(c, count(r))))
 
-    return row, column, count
+    return row, column, count, rows_around, columns_around
 
 
 def roads_near(
@@ -120,16 +136,13 @@ def roads_near(
     asked = points.select(
         F.bround("lat", 5).alias("lat"), F.bround("lng", 5).alias("lng")
     ).where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).distinct()
-    row, column, count = _grid(radius_m)
-    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    p = asked.withColumn("_r", F.explode(F.transform(around, lambda i: row(F.col("lat")) + i)))
-    n, own = count(F.col("_r")), column(F.col("lng"), F.col("_r"))
-    near_columns = F.array_distinct(F.transform(around, lambda i: F.pmod(own + i, n)))
-    p = p.withColumn("_c", F.explode(near_columns))
+    row, column, count, rows_around, columns_around = _grid(radius_m)
+    p = asked.withColumn("_r", F.explode(rows_around(F.col("lat"))))
+    p = p.withColumn("_c", F.explode(columns_around(F.col("lng"), F.col("_r"))))
     p = p.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     r = roads.withColumn("_row", row(F.col("lat"))).withColumns(
         {
-            "_c": column(F.col("lng"), F.col("_row")),
+            "_c": F.pmod(column(F.col("lng"), F.col("_row")), count(F.col("_row"))),
             "_salt": F.pmod(F.xxhash64("road_id"), F.lit(salts)).cast("int"),
         }
     )

@@ -12,7 +12,6 @@ from wayline.plans.geometry_queries import KEY, POSE_SQL, _round_pose
 from wayline.plans.oracle_views import with_views
 from wayline.plans.registry import query
 
-D = F.col("distance_m")
 joined = lambda c: F.array_join(c.cast("array<string>"), ",")
 
 
@@ -39,12 +38,13 @@ LEFT JOIN (SELECT route_id, step_index, string_agg(t, ',' ORDER BY t DESC) AS ta
 
 # lengths with fractions and zeros
 _LEN = "SELECT *, CAST(CASE WHEN pk % 9 = 0 THEN 0 ELSE distance_m / CAST(4 AS DOUBLE) END AS DOUBLE) AS d FROM a_steps"
-LENGTH = F.when(F.col("pk") % 9 == 0, F.lit(0.0)).otherwise(D / 4.0)
+def _length():
+    return F.when(F.col("pk") % 9 == 0, F.lit(0.0)).otherwise(F.col("distance_m") / 4.0)
 
 
 @query("clamp_targets", with_views("a_steps", agg_sql(clamp_sql("lens", "100, 80, 60, 40")), lens=_LEN))
 def _(spark, sf):
-    return t.steps(spark, sf).select(*KEY, joined(fr.clamp_targets(LENGTH, fixed.SPARSE4_TARGETS)).alias("targets"))
+    return t.steps(spark, sf).select(*KEY, joined(fr.clamp_targets(_length(), fixed.SPARSE4_TARGETS)).alias("targets"))
 
 
 @query("spaced_targets", with_views("a_steps", agg_sql(spaced_sql(
@@ -52,14 +52,13 @@ def _(spark, sf):
 def _(spark, sf):
     pk, sk = F.col("pk"), F.col("sk")
     start = F.when(pk % 4 != 0, (pk % 200).cast("double"))
-    targets = fr.spaced_targets(LENGTH, (pk % 6).cast("double"), start, (sk % 9).cast("double"))
+    targets = fr.spaced_targets(_length(), (pk % 6).cast("double"), start, (sk % 9).cast("double"))
     return t.steps(spark, sf).select(*KEY, joined(targets).alias("targets"))
 
 
-PROFILE = (
-    F.when(F.col("pk") % 4 == 0, "single").when(F.col("pk") % 4 == 1, "sparse4")
-    .when(F.col("pk") % 4 == 2, "video5m").otherwise("custom")
-)
+def profile_by_part():
+    k = F.col("pk") % 4
+    return F.when(k == 0, "single").when(k == 1, "sparse4").when(k == 2, "video5m").otherwise("custom")
 
 
 def profile_sql(source: str) -> str:
@@ -73,7 +72,7 @@ def profile_sql(source: str) -> str:
 
 @query("profile_distances", with_views("a_steps", agg_sql(profile_sql("lens")), lens=_LEN))
 def _(spark, sf):
-    targets = fr.profile_distances(LENGTH, PROFILE, 20.0, F.lit(150.0), 30.0)
+    targets = fr.profile_distances(_length(), profile_by_part(), 20.0, F.lit(150.0), 30.0)
     return t.steps(spark, sf).select(*KEY, joined(targets).alias("targets"))
 
 
@@ -96,8 +95,8 @@ SELECT route_id, step_index, CAST(target AS INT) AS remaining_m, round_even(lat,
     lens=_PATHLEN, wanted=profile_sql("lens"),
     targets="SELECT route_id, step_index, CAST(t AS DOUBLE) AS target, d AS total FROM wanted WHERE t <= d", poses=POSE_SQL))
 def _(spark, sf):
-    length = F.when(D % 3 == 0, F.lit(0)).otherwise(D)
-    rows = fop.sample_frames(t.paths(spark, sf), KEY, length, PROFILE, 20.0, F.lit(150.0), 30.0)
+    length = F.when(F.col("distance_m") % 3 == 0, F.lit(0)).otherwise(F.col("distance_m"))
+    rows = fop.sample_frames(t.paths(spark, sf), KEY, length, profile_by_part(), 20.0, F.lit(150.0), 30.0)
     extra = ["remaining_m", "pitch", "fov", "size"]
     return _round_pose(rows, [*KEY, *extra])
 
@@ -106,8 +105,8 @@ def _(spark, sf):
 def _with_frames(spark, sf):
     at = lambda i: F.lit(100) - i * 30
     frame = lambda i: F.struct(
-        N.frame_filename(F.col("route_id"), F.col("step_index"), at(i), D).alias("filename"),
-        F.greatest(F.lit(0), D - at(i)).cast("int").alias("distance_into_step_m"),
+        N.frame_filename(F.col("route_id"), F.col("step_index"), at(i), F.col("distance_m")).alias("filename"),
+        F.greatest(F.lit(0), F.col("distance_m") - at(i)).cast("int").alias("distance_into_step_m"),
         at(i).cast("int").alias("remaining_m"),
         F.lit(1.5).alias("lat"), F.lit(2.5).alias("lng"), F.lit(3.5).alias("heading"),
     )
@@ -169,7 +168,7 @@ def _(spark, sf):
         .otherwise(F.array().cast("array<struct<remaining_m:int,i:int>>"))
     )
     kept = F.transform(
-        fr.frames_in_profile(F.col("frames"), D), lambda f: F.concat(f["remaining_m"].cast("string"), F.lit(":"), f["i"].cast("string"))
+        fr.frames_in_profile(F.col("frames"), F.col("distance_m")), lambda f: F.concat(f["remaining_m"].cast("string"), F.lit(":"), f["i"].cast("string"))
     )
     return base.select(*KEY, F.array_join(kept, ",").alias("kept"))
 
@@ -244,9 +243,9 @@ def _(spark, sf):
 
 def _plan(spark, sf):
     sample = F.concat("route_id", F.lit("_"), F.col("step_index").cast("string")).alias("sample_id")
-    name = N.frame_filename(F.col("route_id"), F.col("step_index"), F.col("rem"), D)
+    name = N.frame_filename(F.col("route_id"), F.col("step_index"), F.col("rem"), F.col("distance_m"))
     want = t.steps(spark, sf).select(
-        *KEY, "pk", "distance_m", F.explode(fr.clamp_targets(D, fixed.SPARSE4_TARGETS)).alias("rem")
+        *KEY, "pk", "distance_m", F.explode(fr.clamp_targets(F.col("distance_m"), fixed.SPARSE4_TARGETS)).alias("rem")
     ).select(sample, "pk", "rem", name.alias("path"))
     have = _with_frames(spark, sf).select("pk", *KEY, F.explode("frames").alias("f")).select(sample, "pk", F.col("f.filename").alias("path"))
     files = want.where((F.col("pk") + F.col("rem")) % 3 == 0).select("path").unionByName(have.where(F.col("pk") % 2 == 0).select("path"))

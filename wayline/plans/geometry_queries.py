@@ -9,7 +9,7 @@ from wayline.plans.oracle_views import with_views
 from wayline.plans.registry import query
 
 KEY = ["route_id", "step_index"]
-P = F.col("points")
+P = "points"
 
 
 def _encoded(spark, sf):

@@ -199,8 +199,8 @@ def _(spark, sf):
 
 def targets(spark, sf):
     """Manifest target frames, one row each, and the files that are there."""
-    steps = fop.resolve_step_frames(_with_frames(spark, sf), "sparse4")
-    rows = steps.select("route_id", "step_index", "pk", F.explode("resolved.filename").alias("filename"))
+    steps = fop.step_frame_names(_with_frames(spark, sf), "sparse4")
+    rows = steps.select("route_id", "step_index", "pk", F.explode("names").alias("filename"))
     return rows, rows.where(F.col("pk") % 3 == 0).select("filename")
 
 

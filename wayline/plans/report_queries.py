@@ -6,7 +6,7 @@ from wayline.functions import normalize as N
 from wayline.operators import joins, matrix, pairwise, reports, routes, selection
 from wayline.operators.ordered import with_both_neighbours
 from wayline.plans import tables as t
-from wayline.plans.frame_queries import _NAME, _STORED, PROFILE, profile_sql
+from wayline.plans.frame_queries import _NAME, _STORED, profile_by_part, profile_sql
 from wayline.plans.join_queries import HASH, NAMES, PAIRS, TARGETS, manifest_rows, targets
 from wayline.plans.oracle_views import with_views
 from wayline.plans.registry import query
@@ -220,7 +220,7 @@ SELECT s.route_id, COUNT(DISTINCT s.step_index) AS steps_count, COUNT(x.t) AS to
 FROM a_steps s LEFT JOIN (SELECT route_id, step_index, t FROM ({profile_sql("lens").replace("CAST(20 AS DOUBLE)", "CAST(20 AS DOUBLE)").replace("CAST(150 AS DOUBLE)", "d").replace("CAST(30 AS DOUBLE)", "CAST(0 AS DOUBLE)")})) x USING (route_id, step_index) GROUP BY s.route_id""",
     lens="SELECT *, CAST(distance_m AS DOUBLE) AS d FROM a_steps"))
 def _(spark, sf):
-    return reports.preflight(t.steps(spark, sf), PROFILE, google_maps=True)
+    return reports.preflight(t.steps(spark, sf), profile_by_part(), google_maps=True)
 
 
 @query("benchmark_cost", with_views("a_results a_samples", """

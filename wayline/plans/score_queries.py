@@ -71,7 +71,7 @@ T2_VIEWS = overlap_views("a_pairs", "conv_id, turn", "pred_text", "ref_text", sp
 T1_VIEWS = overlap_views("a_pairs", "conv_id, turn", "pred_text", "ref_text", word_tokens_sql, "w")
 
 
-def pair_query(name: str, columns: dict, sql: dict, tokens, views: dict, orders=(1, 2, 3, 4), lcs=True):
+def pair_query(name: str, columns, sql: dict, tokens, views: dict, orders=(1, 2, 3, 4), lcs=True):
     """Register a text measure over all conversation pairs."""
     prefix = "s" if tokens is T.space_tokens else "w"
     body = ", ".join(f"{v} AS {k}" for k, v in sql.items())
@@ -79,7 +79,7 @@ def pair_query(name: str, columns: dict, sql: dict, tokens, views: dict, orders=
     @query(name, with_views("a_pairs", f"SELECT conv_id, turn, {body} FROM {prefix}ov", **views))
     def _(spark, sf):
         df = T.with_overlap(t.pairs(spark, sf), F.col("pred_text"), F.col("ref_text"), tokens, "_", orders, lcs)
-        return df.select(*TURN, *[c.alias(k) for k, c in columns.items()])
+        return df.select(*TURN, *[c.alias(k) for k, c in columns().items()])
 
 
 @query("reference_text", with_views("a_results", """
@@ -91,17 +91,17 @@ def _(spark, sf):
     return t.results(spark, sf).select("ordinal", text.alias("text"))
 
 
-pair_query("rouge_l_v1", {"score": F.bround(T.rouge_l("_"), 9)}, {"score": f"round_even({ROUGE_L}, 9)"}, T.word_tokens, T1_VIEWS, ())
-pair_query("rouge_l_v2", {"score": F.bround(T.rouge_l("_"), 9)}, {"score": f"round_even({ROUGE_L}, 9)"}, T.space_tokens, T2_VIEWS, ())
-pair_query("rouge_n", {f"rouge_{n}": T.rouge_n("_", n) for n in (1, 2)}, {f"rouge_{n}": rouge_n_sql(n) for n in (1, 2)},
+pair_query("rouge_l_v1", lambda: {"score": F.bround(T.rouge_l("_"), 9)}, {"score": f"round_even({ROUGE_L}, 9)"}, T.word_tokens, T1_VIEWS, ())
+pair_query("rouge_l_v2", lambda: {"score": F.bround(T.rouge_l("_"), 9)}, {"score": f"round_even({ROUGE_L}, 9)"}, T.space_tokens, T2_VIEWS, ())
+pair_query("rouge_n", lambda: {f"rouge_{n}": T.rouge_n("_", n) for n in (1, 2)}, {f"rouge_{n}": rouge_n_sql(n) for n in (1, 2)},
            T.space_tokens, overlap_views("a_pairs", "conv_id, turn", "pred_text", "ref_text", space_tokens_sql, "s", (1, 2), False), (1, 2), False)
 _BAG2 = overlap_views("a_pairs", "conv_id, turn", "pred_text", "ref_text", space_tokens_sql, "s", lcs=False)
 _BAG1 = overlap_views("a_pairs", "conv_id, turn", "pred_text", "ref_text", word_tokens_sql, "w", lcs=False)
-pair_query("bleu", {f"bleu_{n}": T.bleu("_", n) for n in range(1, 5)}, {f"bleu_{n}": bleu_sql(n) for n in range(1, 5)}, T.space_tokens, _BAG2, lcs=False)
-pair_query("token_f1_v2", {"score": T.token_f1_rounded("_")},
+pair_query("bleu", lambda: {f"bleu_{n}": T.bleu("_", n) for n in range(1, 5)}, {f"bleu_{n}": bleu_sql(n) for n in range(1, 5)}, T.space_tokens, _BAG2, lcs=False)
+pair_query("token_f1_v2", lambda: {"score": T.token_f1_rounded("_")},
            {"score": f"CASE WHEN np = 0 AND nr = 0 THEN 1 ELSE round_even({TOKEN_F1}, 4) END"}, T.space_tokens, _BAG2, (1,), False)
-pair_query("token_f1_v1", {"score": F.bround(T.token_f1("_"), 9)}, {"score": f"round_even({TOKEN_F1}, 9)"}, T.word_tokens, _BAG1, (1,), False)
-pair_query("cider_like", {"score": F.bround(T.cider_like("_"), 9)}, {"score": f"round_even({CIDER}, 9)"}, T.word_tokens, _BAG1, lcs=False)
+pair_query("token_f1_v1", lambda: {"score": F.bround(T.token_f1("_"), 9)}, {"score": f"round_even({TOKEN_F1}, 9)"}, T.word_tokens, _BAG1, (1,), False)
+pair_query("cider_like", lambda: {"score": F.bround(T.cider_like("_"), 9)}, {"score": f"round_even({CIDER}, 9)"}, T.word_tokens, _BAG1, lcs=False)
 
 
 @query("length_reward", f"""
@@ -186,26 +186,26 @@ CHANGE_SQL = "CASE WHEN {g} IS NULL THEN NULL WHEN COALESCE({p} = {g}, FALSE) TH
 LANES_SQL = "CASE WHEN {g} IS NULL THEN NULL WHEN abs({p} - {g}) = 0 THEN CAST(1 AS DOUBLE) WHEN abs({p} - {g}) = 1 THEN 0.5 ELSE 0 END"
 
 
-def field_query(name: str, columns: dict, sql: dict):
+def field_query(name: str, columns, sql: dict):
     body = ", ".join(f"{v} AS {k}" for k, v in sql.items())
 
     @query(name, with_views("a_results a_gt", f"SELECT ordinal, {body} FROM fields", fields=_FIELDS))
     def _(spark, sf):
-        return _fields(spark, sf).select("ordinal", *[c.alias(k) for k, c in columns.items()])
+        return _fields(spark, sf).select("ordinal", *[c.alias(k) for k, c in columns().items()])
 
 
 C = F.col
-field_query("score_action", {"score": S.score_action(C("next_action"), C("gt_action"), C("acceptable_actions"))},
+field_query("score_action", lambda: {"score": S.score_action(C("next_action"), C("gt_action"), C("acceptable_actions"))},
             {"score": action_sql("next_action", "gt_action", "acceptable_actions")})
-field_query("score_action_strict", {"score": S.score_action_strict(C("next_action"), C("gt_action"), C("acceptable_actions"))},
+field_query("score_action_strict", lambda: {"score": S.score_action_strict(C("next_action"), C("gt_action"), C("acceptable_actions"))},
             {"score": strict_sql("next_action", "gt_action", "acceptable_actions")})
 EXPECTED = case_of("trim(upper(maneuver))", fixed.ACTION_BY_MANEUVER, "replace(lower(trim(maneuver)), ' ', '_')")
 REWARD = f"""CASE WHEN next_action = '' OR {EXPECTED} = '' THEN CAST(0 AS DOUBLE) WHEN next_action = {EXPECTED} THEN 1
   WHEN {case_of('next_action', _FAMILIES)} = {case_of(EXPECTED, _FAMILIES)} THEN 0.5 ELSE 0 END"""
-field_query("action_reward", {"score": S.action_reward(C("next_action"), C("maneuver"))}, {"score": REWARD})
-field_query("score_lane_change", {"score": S.score_lane_change(C("pred_change"), C("gt_change"))},
+field_query("action_reward", lambda: {"score": S.action_reward(C("next_action"), C("maneuver"))}, {"score": REWARD})
+field_query("score_lane_change", lambda: {"score": S.score_lane_change(C("pred_change"), C("gt_change"))},
             {"score": CHANGE_SQL.format(p="(lane_change_required = 'yes')", g="gt_change")})
-field_query("score_lanes", {
+field_query("score_lanes", lambda: {
     "score": S.score_lanes(C("lanes_count"), C("gt_lanes")), "exact": S.lanes_exact(C("lanes_count"), C("gt_lanes")),
     "abs_err": S.lanes_abs_err(C("lanes_count"), C("gt_lanes")),
 }, {
@@ -216,12 +216,16 @@ LANE_REWARD = """greatest(0, least(CAST(1 AS DOUBLE), CASE WHEN COALESCE(lane_ch
   WHEN lane_change_required = CASE WHEN gt_change IS NULL THEN 'none' WHEN gt_change THEN 'yes' ELSE 'no' END THEN 0.6 ELSE 0.2 END
   + CASE WHEN COALESCE(lanes_count NOT BETWEEN 1 AND 8, TRUE) THEN CAST(0 AS DOUBLE) WHEN gt_lanes IS NULL THEN 0.5 WHEN lanes_count = gt_lanes THEN 0.4
     WHEN abs(lanes_count - gt_lanes) = 1 THEN 0.2 ELSE 0 END))"""
-_LABEL_CHANGE = F.when(C("gt_change"), "Yes").when(~C("gt_change"), " no")
-field_query("lane_reward", {"score": S.lane_reward(C("lane_change_required"), C("lanes_count"), C("ordinal") % 8 != 0, _LABEL_CHANGE, C("gt_lanes"))},
+def _label_change():
+    return F.when(C("gt_change"), "Yes").when(~C("gt_change"), " no")
+
+
+
+field_query("lane_reward", lambda: {"score": S.lane_reward(C("lane_change_required"), C("lanes_count"), C("ordinal") % 8 != 0, _label_change(), C("gt_lanes"))},
             {"score": LANE_REWARD})
-field_query("latency_reward", {"score": S.latency_reward(F.when(C("ordinal") % 9 != 0, C("latency_ms")))},
+field_query("latency_reward", lambda: {"score": S.latency_reward(F.when(C("ordinal") % 9 != 0, C("latency_ms")))},
             {"score": "CASE WHEN ordinal % 9 = 0 THEN CAST(0 AS DOUBLE) WHEN latency_ms < 5000 THEN 1 WHEN latency_ms < 10000 THEN 0.8 WHEN latency_ms < 15000 THEN 0.6 WHEN latency_ms < 20000 THEN 0.4 WHEN latency_ms < 25000 THEN 0.2 ELSE 0 END"})
-field_query("match_flags", S.match_flags(C("next_action"), C("gt_action"), C("acceptable_actions"), C("lane_change_required"), C("gt_change")), {
+field_query("match_flags", lambda: S.match_flags(C("next_action"), C("gt_action"), C("acceptable_actions"), C("lane_change_required"), C("gt_change")), {
     "action_match": "next_action = gt_action OR COALESCE(list_contains(acceptable_actions, next_action), FALSE)",
     "lane_change_match": "COALESCE((lower(COALESCE(lane_change_required, 'null')) = 'yes') = gt_change, TRUE)",
 })
@@ -319,7 +323,7 @@ def composite_rows(spark, sf, with_latency=False):
     paired = _fields(spark, sf).join(clip(0, "clip_text"), "sample_id", "left").join(clip(1, "clip_image"), "sample_id", "left")
     paired = paired.withColumns({
         "response": F.lit(None).cast("string"), "label_maneuver": C("maneuver"), "label_has_change": C("ordinal") % 8 != 0,
-        "label_lane_change": _LABEL_CHANGE, "label_lanes_count": C("gt_lanes"), "answer_keys": _answer_keys(),
+        "label_lane_change": _label_change(), "label_lanes_count": C("gt_lanes"), "answer_keys": _answer_keys(),
     }).withColumns({"pred_text": evaluation.pred_text(), "ref_text": T.reference_text(F.lit(None).cast("string"), C("gt_text"), F.lit(None).cast("string"), F.lit(None).cast("string"))})
     return evaluation.composite_rewards(paired, ["ordinal", "sample_id"], with_latency)
 
