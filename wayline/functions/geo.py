@@ -70,27 +70,29 @@ def path_length(points: Column) -> Column:
 # --- encoded paths ----------------------------------------------------------
 
 
+# A number is written in base 32, lowest digit first.  The character of a digit
+# tells whether another one follows: '?' to '^' close a number, '_' to '~' do not.
+DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
+CLOSING = "".join(chr(63 + d) for d in range(32))
+OPEN = "".join(chr(95 + d) for d in range(32))
+
+
 def _zigzag_decode(v: Column) -> Column:
     return F.when(v % 2 == 1, -F.shiftright(v, 1) - 1).otherwise(F.shiftright(v, 1))
 
 
 def decode_polyline(encoded: Column, precision: int = 5) -> Column:
-    """Points of an encoded path; no points where the text is malformed."""
-    codes = F.transform(
-        F.filter(F.split(encoded, ""), lambda c: c != ""), lambda c: F.ascii(c) - 63
-    )
-    zero = F.lit(0).cast("bigint")
+    """Points of an encoded path; no points where the text is malformed.
 
-    def numbers(c: Column, ends: Column) -> Column:
-        def one(k: Column) -> Column:
-            first = F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1) + 1)
-            chunk = F.reverse(F.slice(c, first + 1, F.get(ends, k) - first + 1))
-            value = F.aggregate(
-                chunk, zero, lambda acc, b: acc * 32 + b.bitwiseAND(F.lit(31)).cast("bigint")
-            )
-            return let(value, _zigzag_decode)
+    The text is cut into numbers by one pattern and each number is converted as
+    a base-32 text, so nothing is done per character outside native functions.
+    """
+    zero = F.lit(0).cast("bigint")
+    texts = F.regexp_extract_all(encoded, F.lit("[_-~]*[?-^]"), F.lit(0))
 
-        return F.transform(indices(F.size(ends)), one)
+    def number(text: Column) -> Column:
+        digits = F.reverse(F.translate(text, CLOSING + OPEN, DIGITS + DIGITS))
+        return let(F.conv(digits, 32, 10).cast("bigint"), _zigzag_decode)
 
     def points(d: Column) -> Column:
         scale = float(10**precision)
@@ -100,51 +102,37 @@ def decode_polyline(encoded: Column, precision: int = 5) -> Column:
 
         def step(acc: Column, i: Column) -> Column:
             lat, lng = acc["lat"] + F.get(d, i * 2), acc["lng"] + F.get(d, i * 2 + 1)
-            point = F.struct(
-                (lat.cast("double") / scale).alias("lat"), (lng.cast("double") / scale).alias("lng")
+            moved = F.struct(lat.alias("lat"), lng.alias("lng"))
+            point = lambda m: F.struct(
+                (m["lat"].cast("double") / scale).alias("lat"), (m["lng"].cast("double") / scale).alias("lng")
             )
-            return F.struct(
-                lat.alias("lat"), lng.alias("lng"), F.array_append(acc["pts"], point).alias("pts")
+            return let(
+                moved,
+                lambda m: F.struct(
+                    m["lat"].alias("lat"), m["lng"].alias("lng"),
+                    F.array_append(acc["pts"], point(m)).alias("pts"),
+                ),
             )
 
         count = F.floor(F.size(d) / 2).cast("int")
         return F.aggregate(indices(count), start, step, lambda acc: acc["pts"])
 
-    def decode(c: Column) -> Column:
-        ends = F.filter(indices(F.size(c)), lambda i: F.get(c, i) < 32)
-
-        def checked(e: Column) -> Column:
-            ok = (F.get(c, F.size(c) - 1) < 32) & (F.size(e) % 2 == 0)
-            return F.when(ok, let(numbers(c, e), points)).otherwise(F.array().cast(POINTS))
+    def decode(t: Column) -> Column:
+        ok = (F.size(t) % 2 == 0) & (F.length(F.array_join(t, "")) == F.length(encoded))
+        return F.when(ok, let(F.transform(t, number), points)).otherwise(F.array().cast(POINTS))
 
-        return let(ends, checked)
-
-    return F.coalesce(let(codes, decode), F.array().cast(POINTS))
+    return F.coalesce(let(texts, decode), F.array().cast(POINTS))
 
 
 def encode_number(delta: Column) -> Column:
-    """Text of one coordinate difference: zigzag, then 5-bit groups."""
+    """Text of one coordinate difference: zigzag, then base 32 from the low end."""
 
-    def text(z: Column) -> Column:
-        groups = F.filter(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(6)),  # 35 bits: any degree at 7 decimals
-                lambda i: F.call_function("shiftright", z, i * 5),
-            ),
-            lambda v: v > 0,
-        )
-        groups = F.when(z == 0, F.array(z)).otherwise(groups)
-        return F.concat_ws(
-            "",
-            F.transform(
-                groups,
-                lambda v: F.chr(
-                    v.bitwiseAND(F.lit(31)) + F.when(v >= 32, F.lit(32)).otherwise(F.lit(0)) + 63
-                ),
-            ),
-        )
+    def text(digits: Column) -> Column:
+        head = F.substring(digits, F.lit(1), F.length(digits) - 1)
+        return F.concat(F.translate(head, DIGITS, OPEN), F.translate(F.right(digits, F.lit(1)), DIGITS, CLOSING))
 
-    return let(F.when(delta < 0, -delta * 2 - 1).otherwise(delta * 2).cast("bigint"), text)
+    z = F.when(delta < 0, -delta * 2 - 1).otherwise(delta * 2).cast("bigint")
+    return let(F.reverse(F.conv(z.cast("string"), 10, 32)), text)
 
 
 def grid(value: Column, precision: int) -> Column:

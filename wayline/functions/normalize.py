@@ -142,8 +142,14 @@ def format_eta(minutes: Column) -> Column:
     )
 
 
+def _three(n: Column) -> Column:
+    """A whole number from 0 with at least three digits."""
+    text = n.cast("bigint").cast("string")
+    return F.when(F.length(text) < 3, F.lpad(text, 3, "0")).otherwise(text)
+
+
 def sample_id(route: Column, step: Column) -> Column:
-    return F.format_string("%s_step%03d", route, step.cast("bigint"))
+    return F.concat(route, F.lit("_step"), _three(step))
 
 
 def map_filename(route: Column, step: Column) -> Column:
@@ -156,7 +162,7 @@ def frame_filename(
 ) -> Column:
     rem = remaining.cast("bigint")
     into = F.greatest(F.lit(0).cast("bigint"), step_len.cast("bigint") - rem)
-    name = F.format_string("%s_%03dm_%03dm", sample_id(route, step), into, rem)
+    name = F.concat(sample_id(route, step), F.lit("_"), _three(into), F.lit("m_"), _three(rem), F.lit("m"))
     if augment is not None:
         tail = F.when(present(augment).isNull(), "").otherwise(F.concat(F.lit("_"), augment))
         name = F.concat(name, tail)
