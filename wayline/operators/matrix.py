@@ -128,8 +128,11 @@ def coverage(cells: DataFrame, results: DataFrame) -> DataFrame:
     for c in CELL:
         part = wanted[c].eqNullSafe(marked[f"_d_{c}"])
         cond = part if cond is None else cond & part
-    out = wanted.join(marked, cond, "left")
-    return out.rollup("model_id", "modality", "route_id").agg(
-        F.count("*").alias("expected"), F.count("_done").alias("present"),
-        F.count_if(F.col("_done").isNull()).alias("missing"),
+    # counted per route first, so the rollup copies counts and not runs
+    routes = wanted.join(marked, cond, "left").groupBy("model_id", "modality", "route_id").agg(
+        F.count("*").alias("_all"), F.count("_done").alias("_ok")
+    )
+    return routes.rollup("model_id", "modality", "route_id").agg(
+        F.sum("_all").alias("expected"), F.sum("_ok").alias("present"),
+        F.sum(F.col("_all") - F.col("_ok")).alias("missing"),
     )

@@ -14,22 +14,44 @@ from pyspark.sql import functions as F
 
 from wayline.workspace import durable
 
-BLOCK = "_block"
 WIDTH = 4096
+_HIDDEN = "_cut_"
+# stands for a null key, so that joins and windows can use plain equality
+_NO_KEY = {"string": "\u0000", "int": -(1 << 31), "bigint": -(1 << 63)}
 
 
-def _blocked(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn(BLOCK, F.floor(F.col(order) / F.lit(width)))
+def _names(keys: list[str], order: str, width: int) -> list[str]:
+    tag = f"{_HIDDEN}{'_'.join(keys)}_{order}_{width}_"
+    return [f"{tag}{k}" for k in keys] + [f"{tag}block"]
 
 
-def _attach(df: DataFrame, summary: DataFrame, on: list[str]) -> DataFrame:
-    """Left join that treats null keys as equal and keeps one copy of them."""
-    renamed = summary.withColumnsRenamed({k: f"_s_{k}" for k in on})
+def cut(df: DataFrame, keys: list[str], order: str, width: int = WIDTH) -> DataFrame:
+    """Add the hidden block columns once, for several ordered steps in a row.
+
+    Steps that find them neither add nor drop them and share one shuffle; take
+    them off with ``uncut``.
+    """
+    names = _names(keys, order, width)
+    if names[-1] in df.columns:
+        return df
+    types = dict(df.dtypes)
+    safe = {n: F.coalesce(k, F.lit(_NO_KEY[types[k]]).cast(types[k])) for n, k in zip(names, keys)}
+    return df.withColumns(safe | {names[-1]: F.floor(F.col(order) / F.lit(width))})
+
+
+def uncut(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith(_HIDDEN)])
+
+
+def _attach(df: DataFrame, summary: DataFrame, on: list[str], was_cut: bool) -> DataFrame:
+    """Left join of one summary row per block; the rows stay where they are."""
+    renamed = summary.withColumnsRenamed({k: f"_s{k}" for k in on})
     cond = None
     for k in on:
-        part = df[k].eqNullSafe(renamed[f"_s_{k}"])
+        part = df[k] == renamed[f"_s{k}"]
         cond = part if cond is None else cond & part
-    return df.join(renamed, cond, "left").drop(*[f"_s_{k}" for k in on])
+    out = df.join(renamed, cond, "left").drop(*[f"_s{k}" for k in on])
+    return out if was_cut else out.drop(*on)
 
 
 def running_sums(
@@ -38,33 +60,36 @@ def running_sums(
 ) -> DataFrame:
     """Running sum per key over a unique whole-number order column.
 
-    ``reverse`` sums from this row to the end.  Null values count as zero.
+    ``reverse`` sums from this row to the end.  Null values count as zero.  The
+    rows are shuffled once; the block totals come from a second, narrow read.
     """
-    base = _blocked(df, order, width).withColumns(
+    on = _names(keys, order, width)
+    was_cut = on[-1] in df.columns
+    base = cut(df, keys, order, width).withColumns(
         {f"_v_{name}": value for name, value in values.items()}
     )
     direction = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
     inside = (
-        W.partitionBy(*keys, BLOCK).orderBy(direction(order))
+        W.partitionBy(*on).orderBy(direction(order))
         .rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     )
     before = (
-        W.partitionBy(*keys).orderBy(direction(BLOCK)).rowsBetween(W.unboundedPreceding, -1)
+        W.partitionBy(*on[:-1]).orderBy(direction(on[-1])).rowsBetween(W.unboundedPreceding, -1)
     )
     totals = (
-        base.groupBy(*keys, BLOCK)
+        base.groupBy(*on)
         .agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
         .withColumns({f"_o_{n}": F.sum(f"_t_{n}").over(before) for n in values})
         # the first block of a key needs no offset: usually nothing is left to join
         .where(F.coalesce(*[F.col(f"_o_{n}") for n in values]).isNotNull())
-        .select(*keys, BLOCK, *[f"_o_{n}" for n in values])
+        .select(*on, *[f"_o_{n}" for n in values])
     )
     local = base.withColumns({n: F.sum(f"_v_{n}").over(inside) for n in values})
-    joined = _attach(local, totals, [*keys, BLOCK])
+    joined = _attach(local, totals, on, was_cut)
     zero = F.lit(0)
     return joined.withColumns(
         {n: F.coalesce(F.col(n), zero) + F.coalesce(F.col(f"_o_{n}"), zero) for n in values}
-    ).drop(BLOCK, *[f"_v_{n}" for n in values], *[f"_o_{n}" for n in values])
+    ).drop(*[f"_v_{n}" for n in values], *[f"_o_{n}" for n in values])
 
 
 def numbered(
@@ -81,24 +106,24 @@ def with_neighbour(
     """Values of the next (step=1) or previous (step=-1) row of the same key."""
     if step not in (1, -1):
         raise ValueError("step must be 1 or -1")
+    on = _names(keys, order, width)
+    was_cut = on[-1] in df.columns
     packed = F.struct(F.col(order).alias("_at"), *[v.alias(n) for n, v in values.items()])
-    base = _blocked(df, order, width).withColumn("_own", packed)
+    base = cut(df, keys, order, width).withColumn("_own", packed)
     shift = F.lead if step == 1 else F.lag
     edge = F.min if step == 1 else F.max  # structs compare by _at first
-    edges = base.groupBy(*keys, BLOCK).agg(edge("_own").alias("_edge"))
-    by_block = W.partitionBy(*keys).orderBy(BLOCK)
+    edges = base.groupBy(*on).agg(edge("_own").alias("_edge"))
+    by_block = W.partitionBy(*on[:-1]).orderBy(on[-1])
     edges = (
         edges.withColumn("_beyond", shift("_edge").over(by_block))
         .where(F.col("_beyond").isNotNull())
-        .select(*keys, BLOCK, "_beyond")
+        .select(*on, "_beyond")
     )
-    inside = W.partitionBy(*keys, BLOCK).orderBy(order)
+    inside = W.partitionBy(*on).orderBy(order)
     local = base.withColumn("_near", shift("_own").over(inside))
-    joined = _attach(local, edges, [*keys, BLOCK])
+    joined = _attach(local, edges, on, was_cut)
     other = F.coalesce("_near", "_beyond")
-    return joined.withColumns({n: other[n] for n in values}).drop(
-        BLOCK, "_own", "_near", "_beyond"
-    )
+    return joined.withColumns({n: other[n] for n in values}).drop("_own", "_near", "_beyond")
 
 
 def _range_sorted(df: DataFrame, order: list[str]) -> DataFrame:

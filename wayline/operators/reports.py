@@ -9,6 +9,7 @@ from wayline import fixed
 from wayline.functions import frames as fr
 from wayline.functions import normalize as N
 from wayline.functions.core import first_present, present
+from wayline.operators.joins import with_registry
 
 
 def share_of(counts: DataFrame, n: str = "n") -> Column:
@@ -186,15 +187,17 @@ def preflight(
     )
 
 
-def token_cost(results: DataFrame) -> DataFrame:
-    """Tokens and dollars per model; results carry the registry prices."""
+def token_cost(results: DataFrame, registry: DataFrame) -> DataFrame:
+    """Tokens and dollars per model; tokens are summed before the prices join."""
+    used = results.groupBy("model_id").agg(
+        F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out")
+    )
     usd = (
         F.coalesce("tokens_in", F.lit(0)) * F.col("input_cost_per_mtok")
         + F.coalesce("tokens_out", F.lit(0)) * F.col("output_cost_per_mtok")
     ) / 1e6
-    return results.groupBy("model_id").agg(
-        F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"),
-        F.bround(F.sum(usd), 6).alias("cost_usd"),
+    return with_registry(used, registry).select(
+        "model_id", "tokens_in", "tokens_out", F.bround(usd, 8).alias("cost_usd")
     )
 
 

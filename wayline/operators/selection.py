@@ -113,12 +113,21 @@ def select_frames(samples: DataFrame, files: DataFrame, keys: list[str]) -> Data
 
 
 def limit_matched(samples: DataFrame, matched: Column, limit: int, keep: Column, order: list[str]) -> DataFrame:
-    """First ``limit`` rows that match, then the skip rules; skipped rows use up the limit."""
-    placed = dense_ordinal(samples.where(matched), order, "matched_no")
-    return placed.where(F.col("matched_no") <= limit).where(keep)
+    """First ``limit`` rows that match, then the skip rules; skipped rows use up the limit.
+
+    Only the ``order`` columns, which identify a row, are numbered.
+    """
+    rows = samples.where(matched)
+    first = dense_ordinal(rows.select(*order), order, "matched_no").where(F.col("matched_no") <= limit)
+    return rows.join(first, order).where(keep)
 
 
 def page(samples: DataFrame, order: list[str], number: int, size: int = 25) -> DataFrame:
-    """One page (from 0) in dataset order."""
-    placed = dense_ordinal(samples, order, "row_no")
-    return placed.where((F.col("row_no") > number * size) & (F.col("row_no") <= (number + 1) * size))
+    """One page (from 0) in dataset order.
+
+    Only the ``order`` columns, which identify a row, are numbered; the rows of
+    the page are then looked up.
+    """
+    placed = dense_ordinal(samples.select(*order), order, "row_no")
+    wanted = placed.where((F.col("row_no") > number * size) & (F.col("row_no") <= (number + 1) * size))
+    return samples.join(wanted, order)

@@ -6,7 +6,7 @@ from wayline.functions import frames as fr
 from wayline.functions import normalize as N
 from wayline.operators import frames as fop
 from wayline.operators import joins, manifest, matrix, pairwise, routes
-from wayline.operators.ordered import first_by
+from wayline.operators.ordered import cut, uncut
 from wayline.plans import tables as t
 from wayline.plans.frame_queries import _NAME, _STORED, _with_frames
 from wayline.plans.oracle_views import with_views
@@ -265,7 +265,8 @@ SELECT route_id || '_step' || format('{:03d}', step_index) AS id, COALESCE(NULLI
     WINDOW w AS (PARTITION BY route_id ORDER BY step_index)) s
   LEFT JOIN a_roads r ON r.road_id = s.pk AND r.road_id % 2 = 0)"""))
 def _(spark, sf):
-    steps = routes.remaining_distance(routes.next_step_text(t.steps(spark, sf)))
+    base = cut(t.steps(spark, sf), ["route_id"], "step_index")
+    steps = uncut(routes.remaining_distance(routes.next_step_text(base)))
     roads = t.roads(spark, sf).where(F.col("road_id") % 2 == 0).select(F.col("road_id").alias("pk"), F.col("name").alias("osm_name"))
     built = steps.join(roads, "pk", "left")
     names = N.street_names(F.coalesce("instruction", F.lit("")))

@@ -274,10 +274,10 @@ def _(spark, sf):
 
 @query("token_cost", with_views("a_results a_registry", """
 SELECT r.model_id, CAST(SUM(tokens_in) AS BIGINT) AS tokens_in, CAST(SUM(tokens_out) AS BIGINT) AS tokens_out,
-  round_even(SUM((tokens_in * input_cost_per_mtok + tokens_out * output_cost_per_mtok) / 1e6), 6) AS cost_usd
+  round_even(SUM((tokens_in * input_cost_per_mtok + tokens_out * output_cost_per_mtok) / 1e6), 8) AS cost_usd
 FROM a_results r LEFT JOIN names n ON n.name = r.model_id LEFT JOIN a_registry g ON g.model_id = n.registry_id GROUP BY r.model_id""", names=NAMES))
 def _(spark, sf):
-    return reports.token_cost(joins.with_registry(t.results(spark, sf), t.registry(spark, sf)))
+    return reports.token_cost(t.results(spark, sf), t.registry(spark, sf))
 
 
 @query("prompt_images", with_views("a_results", """
@@ -352,7 +352,7 @@ def _(spark, sf):
 @query("prev_next_sample", with_views("a_samples", """
 SELECT sample_id, LAG(sample_id) OVER (ORDER BY sample_id) AS prev_id, LEAD(sample_id) OVER (ORDER BY sample_id) AS next_id FROM a_samples"""))
 def _(spark, sf):
-    return with_both_neighbours(t.samples(spark, sf), ["sample_id"], "sample_id", "prev_id", "next_id").select("sample_id", "prev_id", "next_id")
+    return with_both_neighbours(t.samples(spark, sf).select("sample_id"), ["sample_id"], "sample_id", "prev_id", "next_id").select("sample_id", "prev_id", "next_id")
 
 
 @query("step_order", with_views("a_samples", """
