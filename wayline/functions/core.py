@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space as Unicode text defines it; plain \s covers ASCII only.
@@ -56,6 +56,16 @@ def indices(n: Column) -> Column:
     )
 
 
+def rows_of(df: DataFrame, keep: list, array: str, at: str = "_i", item: str = "_item") -> DataFrame:
+    """One row per element of an array column, with its place.
+
+    An inner explode of a column makes the optimizer filter on the size of the
+    array below the projection that computes it, so a derived array would be
+    computed twice.  The outer form with a null check computes it once.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(at, item)).where(F.col(at).isNotNull())
+
+
 def one_decimal(x: Column) -> Column:
     """Text with one decimal, rounding the exact binary value half to even.
 

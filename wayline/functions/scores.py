@@ -169,10 +169,16 @@ def best_match_count(pred: Column, gt: Column, threshold: float) -> Column:
     return let(kept_items(pred), lambda p: let(kept_items(gt), lambda g: match(p, g)))
 
 
+def fuzzy_counts(pred: Column, gt: Column, threshold: float = 0.5) -> dict[str, Column]:
+    """Matched items and list sizes, for ``set_prf``."""
+    return {
+        "hits": best_match_count(pred, gt, threshold),
+        "pred": F.size(kept_items(pred)), "gt": F.size(kept_items(gt)),
+    }
+
+
 def set_prf_fuzzy(pred: Column, gt: Column, threshold: float = 0.5) -> dict[str, Column]:
-    return set_prf(
-        best_match_count(pred, gt, threshold), F.size(kept_items(pred)), F.size(kept_items(gt))
-    )
+    return set_prf(*fuzzy_counts(pred, gt, threshold).values())
 
 
 def format_reward(keys: Column) -> Column:

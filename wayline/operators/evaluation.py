@@ -25,6 +25,11 @@ def score_rows(paired: DataFrame, keys: list[str], detailed: bool = True) -> Dat
             "_truth": strip(F.coalesce("gt_enhanced_instruction", F.lit(""))),
         }
     )
+    items = (("relevant_landmarks", "landmark"), ("potential_hazards", "hazard")) if detailed else ()
+    # counts first: precision, recall and F1 are arithmetic over the same three
+    for field, short in items:
+        counts = S.fuzzy_counts(F.col(field), F.col(f"gt_{field}"))
+        texts = texts.withColumns({f"_{short}_{n}": c for n, c in counts.items()})
     base = T.instruction_metrics(texts, F.col("_pred"), F.col("_truth"), "_i")
     text_score = T.rouge_l("_i")
     change = lambda c: N.lane_change_flag(F.col(c))
@@ -46,8 +51,9 @@ def score_rows(paired: DataFrame, keys: list[str], detailed: bool = True) -> Dat
         }
         for name in ("rouge_1", "rouge_2", "rouge_l", "bleu_1", "bleu_2", "bleu_3", "bleu_4", "token_f1", "bertscore_f1"):
             scores[name] = F.col(name)
-        for field, short in (("relevant_landmarks", "landmark"), ("potential_hazards", "hazard")):
-            for part, value in S.set_prf_fuzzy(F.col(field), F.col(f"gt_{field}")).items():
+        for _, short in items:
+            counted = [F.col(f"_{short}_{n}") for n in ("hits", "pred", "gt")]
+            for part, value in S.set_prf(*counted).items():
                 scores[f"{short}_{part}"] = value
     staged = base.select(
         *keys, *[v.alias(f"s_{k}") for k, v in scores.items()],

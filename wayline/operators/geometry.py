@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from wayline import fixed
 from wayline.functions import geo
-from wayline.functions.core import lookup
+from wayline.functions.core import lookup, rows_of
 from wayline.operators.ordered import WIDTH, with_neighbour
 
 
 def points_of(paths: DataFrame, keys: list[str], points: str = "points") -> DataFrame:
     """One row per path point."""
-    return paths.select(*keys, F.posexplode(points).alias("pt_idx", "p")).select(
-        *keys, "pt_idx", "p.lat", "p.lng"
-    )
+    return rows_of(paths, keys, points, "pt_idx", "p").select(*keys, "pt_idx", "p.lat", "p.lng")
 
 
 def polyline_to_points(steps: DataFrame, keys: list[str], encoded: str, precision: int = 5) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayline import fixed
 from wayline.functions import geo
 from wayline.functions import normalize as N
-from wayline.functions.core import present
+from wayline.functions.core import present, rows_of
 from wayline.operators.ordered import numbered, running_sums, with_neighbour
 
 
@@ -206,9 +206,7 @@ def concat_paths(paths: DataFrame) -> DataFrame:
         paths.withColumn("_n", F.size("points").cast("bigint")), ["route_id"], "step_index",
         {"_before": F.col("_n")}, inclusive=False,
     )
-    return before.select(
-        "route_id", "step_index", "_before", F.posexplode("points").alias("pt_idx", "p")
-    ).select(
+    return rows_of(before, ["route_id", "step_index", "_before"], "points", "pt_idx", "p").select(
         "route_id", "step_index", "pt_idx", (F.col("_before") + F.col("pt_idx")).alias("path_idx"),
         "p.lat", "p.lng",
     )

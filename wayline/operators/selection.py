@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline import fixed
-from wayline.functions.core import first_present, present
+from wayline.functions.core import present, rows_of
 from wayline.functions.normalize import city_of_sample
 from wayline.operators.ordered import dense_ordinal
 
@@ -97,7 +97,7 @@ def select_frames(samples: DataFrame, files: DataFrame, keys: list[str]) -> Data
     base = samples.withColumn("selected", chosen).withColumn("n_selected", F.size("selected").cast("bigint"))
     inventory = files.select("path").distinct().withColumn("_there", F.lit(1).cast("bigint"))
     existing = (
-        base.select(*keys, F.explode("selected").alias("path"))
+        rows_of(base, keys, "selected", item="path").select(*keys, "path")
         .join(inventory, "path")
         .groupBy(*keys).agg(F.sum("_there").alias("n_existing"))
     )

@@ -6,6 +6,7 @@ from wayline import fixed
 from wayline.functions import frames as fr
 from wayline.functions import geo
 from wayline.functions import normalize as N
+from wayline.functions.core import rows_of
 from wayline.operators import frames as fop
 from wayline.plans import tables as t
 from wayline.plans.geometry_queries import KEY, POSE_SQL, _round_pose
@@ -137,7 +138,7 @@ LEFT JOIN poses p ON p.route_id = w.route_id AND p.step_index = w.step_index AND
 def _(spark, sf):
     base = _with_frames(spark, sf)
     parts = [
-        fop.resolve_step_frames(base, p).select(F.lit(p).alias("profile"), *KEY, F.explode("resolved").alias("f"))
+        rows_of(fop.resolve_step_frames(base, p), [F.lit(p).alias("profile"), *KEY], "resolved", item="f")
         for p in ("manifest", "sparse4")
     ]
     return parts[0].unionByName(parts[1]).select(
@@ -247,7 +248,7 @@ def _plan(spark, sf):
     want = t.steps(spark, sf).select(
         *KEY, "pk", "distance_m", F.explode(fr.clamp_targets(F.col("distance_m"), fixed.SPARSE4_TARGETS)).alias("rem")
     ).select(sample, "pk", "rem", name.alias("path"))
-    have = _with_frames(spark, sf).select("pk", *KEY, F.explode("frames").alias("f")).select(sample, "pk", F.col("f.filename").alias("path"))
+    have = rows_of(_with_frames(spark, sf), ["pk", *KEY], "frames", item="f").select(sample, "pk", F.col("f.filename").alias("path"))
     files = want.where((F.col("pk") + F.col("rem")) % 3 == 0).select("path").unionByName(have.where(F.col("pk") % 2 == 0).select("path"))
     return fop.regenerate_plan(want, have, files)
 
@@ -255,7 +256,7 @@ def _plan(spark, sf):
 @query("augment_plan", with_views("a_steps", f"""
 SELECT augment, COUNT(*) AS n, MIN('frames_' || augment || '/' || {_NAME}) AS first_output FROM stored, (SELECT UNNEST(['fog', 'night', 'rain', 'motion_blur']) AS augment) GROUP BY augment""", stored=_STORED))
 def _(spark, sf):
-    frames = _with_frames(spark, sf).select(F.explode("frames.filename").alias("path"))
+    frames = rows_of(_with_frames(spark, sf), [], "frames", item="f").select(F.col("f.filename").alias("path"))
     return fop.augment_plan(frames, fixed.AUGMENTS).groupBy("augment").agg(
         F.count("*").alias("n"), F.min("output").alias("first_output")
     )

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions import frames as fr
 from wayline.functions import normalize as N
+from wayline.functions.core import rows_of
 from wayline.operators import frames as fop
 from wayline.operators import joins, manifest, matrix, pairwise, routes
 from wayline.operators.ordered import cut, uncut
@@ -200,7 +201,7 @@ def _(spark, sf):
 def targets(spark, sf):
     """Manifest target frames, one row each, and the files that are there."""
     steps = fop.step_frame_names(_with_frames(spark, sf), "sparse4")
-    rows = steps.select("route_id", "step_index", "pk", F.explode("names").alias("filename"))
+    rows = rows_of(steps, ["route_id", "step_index", "pk"], "names", item="filename")
     return rows, rows.where(F.col("pk") % 3 == 0).select("filename")
 
 
