@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from wayline import fixed
 from wayline.functions import frames as fr
-from wayline.functions import geo
 from wayline.functions import normalize as N
 from wayline.functions.core import rows_of
 from wayline.operators import frames as fop

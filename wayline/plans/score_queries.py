@@ -12,7 +12,7 @@ from wayline.plans.join_queries import FIRST, PAIRED
 from wayline.plans.oracle_views import with_views
 from wayline.plans.registry import query
 from wayline.plans.report_queries import MAJORITY
-from wayline.plans.sqltext import case_of, in_list, space_tokens_sql, strip_sql, word_tokens_sql
+from wayline.plans.sqltext import case_of, space_tokens_sql, word_tokens_sql
 
 TURN = ["conv_id", "turn"]
 STRINGS = "array<string>"
@@ -34,13 +34,11 @@ def overlap_views(source: str, keys: str, pred: str, ref: str, tokens, prefix: s
   list_reduce(list_prepend(list_transform(range(0, len(r) + 1), lambda k: {zero}), list_transform(range(1, len(p) + 1), lambda i: [i])),
     lambda prev, i: list_reduce(list_prepend([{zero}], list_transform(range(1, len(r) + 1), lambda j: [j])),
       lambda row, j: list_append(row, CASE WHEN p[i[1]] = r[j[1]] THEN prev[j[1]] + 1 ELSE greatest(prev[j[1] + 1], row[j[1]]) END)))[-1] END"""
-    ms = ", ".join(f"COALESCE(m{n}, 0) AS m{n}" for n in orders)
     joins_sql = " ".join(f"LEFT JOIN {prefix}m{n} USING ({keys})" for n in orders)
     views[f"{prefix}ov"] = (
         f"SELECT *, {lcs_sql if lcs else 'NULL'} AS lcs, len(p) AS np, len(r) AS nr, "
         f"{', '.join(f'COALESCE(m{n}, 0) AS k{n}' for n in orders)} FROM {prefix}tok {joins_sql}"
     )
-    assert ms
     return views
 
 
@@ -518,7 +516,7 @@ def _rounds(n: int) -> dict[str, str]:
     for i in range(n):
         views[f"r{i + 1}"] = f"""SELECT mat.m, (SUM(points) + 0.5) / (SUM(games / (a.s + b.s)) + 1 / (any_value(a.s) + 1)) AS s
 FROM mat JOIN r{i} a ON a.m = mat.m JOIN r{i} b ON b.m = mat.o GROUP BY mat.m"""
-    return {k: v if k == "r0" else v for k, v in views.items()}
+    return views
 
 
 @query("pair_ratings", with_views("a_votes", "SELECT m AS model_id, round_even(1000 + 400 * log10(s), 3) AS rating FROM r20", maj=MAJORITY, mat=_MATRIX, **_rounds(20)).replace(" AS (SELECT mat.m", " AS MATERIALIZED (SELECT mat.m"))
