@@ -7,15 +7,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the cluster names.
+    """Folder every executor can reach: the one the cluster names in spark.checkpoint.dir.
 
-    Only where no folder is named (tests on one machine) a new one is made.
+    With a local master (tests on one machine) a new folder is made where none
+    is named; on a cluster that would be a folder only the driver can see, so
+    there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="wayline-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
@@ -23,7 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path nobody has written to yet; jobs never overwrite in place."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: later jobs start from the files."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what this process wrote to the shared folder, once no result still reads it."""
+    gone = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def durable(df: DataFrame) -> DataFrame:
