@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wayline.llm import exact_dedup, language_id, secret_scan
+from wayline.llm import exact_dedup, language_id, secret_scan, toxicity
 from wayline.plans.registry import Query
 
 C = F.col
@@ -39,6 +39,15 @@ def op1(spark, sf_dir):
         F.sha2(_joined(secret_scan.KINDS[:3]), 256).alias("base_sha256"), _joined(secret_scan.KINDS).alias("spans"))
 
 
+@query("op3_toxicity")
+def op3(spark, sf_dir):
+    docs = documents(spark, sf_dir).withColumn("held_out", language_id.held_out(1, 3))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~language_id.held_out(1, 3))
+    return toxicity.score(docs, toxicity.fit(docs.where("NOT held_out"), labels), ["held_out"]).select(
+        "doc_id", "held_out", "score", (C("score") >= 0.7).cast("int").alias("predicted"), F.size("hits").alias("n_hits"),
+        F.size(F.filter("hits", lambda h: h["quoted"])).alias("n_quoted"))
+
+
 _COPIES = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW w AS (PARTITION BY t)"""
