@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wayline.llm import exact_dedup, language_id, secret_scan, toxicity
+from wayline.llm import exact_dedup, language_id, mixing, secret_scan, toxicity
 from wayline.plans.registry import Query
 
 C = F.col
@@ -63,3 +63,8 @@ def op10(spark, sf_dir):
     docs = documents(spark, sf_dir).withColumn("held_out", language_id.held_out(2, 4))
     model = language_id.fit(docs.where("NOT held_out"))
     return language_id.predict(docs, model, ["held_out"])
+
+
+@query("op7_mixing")
+def op7(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
