@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wayline.llm import exact_dedup, language_id, mixing, secret_scan, toxicity
+from wayline.llm import best_fit, exact_dedup, language_id, mixing, secret_scan, toxicity
 from wayline.plans.registry import Query
 
 C = F.col
@@ -65,6 +65,11 @@ def op10(spark, sf_dir):
     return language_id.predict(docs, model, ["held_out"])
 
 
+@query("op6_packing")
+def op6(spark, sf_dir):
+    return best_fit.pack_documents(documents(spark, sf_dir)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query("op7_mixing")
 def op7(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
