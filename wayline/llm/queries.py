@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wayline.llm import best_fit, exact_dedup, language_id, mixing, secret_scan, toxicity
+from wayline.llm import best_fit, exact_dedup, fingerprints, language_id, mixing, secret_scan, substring_dedup, toxicity
 from wayline.plans.registry import Query
 
 C = F.col
@@ -58,6 +58,11 @@ def op4(spark, sf_dir):
     return exact_dedup.exact_copies(documents(spark, sf_dir), hash_all=True).withColumnRenamed("text_hash", "text_sha256")
 
 
+@query("op9_fingerprints")
+def op9(spark, sf_dir):
+    return fingerprints.edited_pairs(documents(spark, sf_dir))
+
+
 @query("op10_language")
 def op10(spark, sf_dir):
     docs = documents(spark, sf_dir).withColumn("held_out", language_id.held_out(2, 4))
@@ -65,6 +70,11 @@ def op10(spark, sf_dir):
     return language_id.predict(docs, model, ["held_out"])
 
 
+@query("op5_substring_dedup")
+def op5(spark, sf_dir):
+    return substring_dedup.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op6_packing")
 def op6(spark, sf_dir):
     return best_fit.pack_documents(documents(spark, sf_dir)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
