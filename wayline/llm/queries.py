@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wayline.llm import best_fit, exact_dedup, fingerprints, language_id, mixing, secret_scan, substring_dedup, toxicity
+from wayline.llm import best_fit, exact_dedup, fingerprints, jaccard_join, language_id, mixing, secret_scan, substring_dedup, toxicity
 from wayline.plans.registry import Query
 
 C = F.col
@@ -39,6 +39,26 @@ def op1(spark, sf_dir):
         F.sha2(_joined(secret_scan.KINDS[:3]), 256).alias("base_sha256"), _joined(secret_scan.KINDS).alias("spans"))
 
 
+_NEAR = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+g AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS grams FROM w),
+s AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM g),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM g UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT g.doc_id, any_value(len(grams)) AS n_shingles, min(y) AS component_id FROM g JOIN reach ON g.doc_id = x GROUP BY g.doc_id"""
+
+
+@query("op2_ngram_join", _NEAR)
+def op2(spark, sf_dir):
+    return jaccard_join.similar_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op3_toxicity")
 def op3(spark, sf_dir):
     docs = documents(spark, sf_dir).withColumn("held_out", language_id.held_out(1, 3))
