@@ -64,4 +64,4 @@ def exact_copies(docs: DataFrame, prefix_chars: int = 64, hash_all: bool = False
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, all columns as given; one row where id and text repeat."""
     kept = exact_copies(docs).where("kept").select(C("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, C("doc_id").eqNullSafe(C("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])

@@ -314,4 +314,4 @@ def one_of_each(docs: DataFrame, n: int = NGRAM, percent: int = 75) -> DataFrame
     """The smallest document of every group of linked documents, all columns as given."""
     groups = similar_groups(docs, n, percent)
     gone = groups.where("doc_id <> component_id").select(C("doc_id").alias("_id"))
-    return docs.join(gone, C("doc_id") == C("_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")

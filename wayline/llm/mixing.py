@@ -199,13 +199,14 @@ def mixed_documents(docs: DataFrame, block: int = 64, weights: Sequence[float] =
 
     taken / size copies on average: the whole part always, one more with the
     chance of the rest, drawn from a hash of the id. Documents without words
-    belong to no block and are left as they are, once.
+    belong to no block and are left as they are, once. Rows that share an id are
+    given as often as the one that is taken most.
     """
-    columns = docs.columns
-    chance = F.pmod(F.xxhash64("doc_id", "size", "row", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    chance = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     copies = F.when(C("size") > 0, F.floor(C("taken") / C("size") + chance)).otherwise(1)
-    wanted = mix(docs, block, weights, repeats, seed).withColumn("copies", copies.cast("int")).groupBy("doc_id").agg(
-        F.sum("copies").alias("copies"), F.count("*").alias("rows")).select(C("doc_id").alias("_id"), (C("copies") / C("rows")).alias("_copies"))
-    times = F.floor(C("_copies") + F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)).cast("int")
-    return docs.join(wanted, C("doc_id").eqNullSafe(C("_id"))).withColumn("_n", times).where("_n > 0").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), C("_n")))).select(*columns)
+    wanted = written(
+        mix(docs, block, weights, repeats, seed).withColumn("copies", copies.cast("int")).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0"), "copies")
+    # a struct keeps the given columns apart from those added here
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    met = rows.join(wanted, rows["row.doc_id"].eqNullSafe(wanted["doc_id"]))
+    return met.select("row", F.explode(F.sequence(F.lit(1), C("copies")))).select("row.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wayline.llm import best_fit, exact_dedup, fingerprints, jaccard_join, language_id, mixing, secret_scan, substring_dedup, toxicity
+from wayline.llm import best_fit, exact_dedup, fingerprints, jaccard_join, language_id, mixing, secret_scan, substring_dedup, tool_calls, toxicity
 from wayline.plans.registry import Query
 
 C = F.col
@@ -78,6 +78,57 @@ def op4(spark, sf_dir):
     return exact_dedup.exact_copies(documents(spark, sf_dir), hash_all=True).withColumnRenamed("text_hash", "text_sha256")
 
 
+#: the two tools that the turns of a conversation stand for; parameters as in their schemas
+_SCHEMAS = [
+    ("configure", "prompt", "string", True, 1, 400), ("configure", "turn", "integer", True, 0, 0),
+    ("reply", "prompt", "string", True, 1, 600), ("reply", "turn", "integer", True, 0, 0),
+]
+
+_CALLS = """
+WITH RECURSIVE calls AS (
+  SELECT conv_id, turn, conv_id || ':' || turn AS call_id, CASE role WHEN 'system' THEN 'configure' ELSE 'reply' END AS tool, text
+  FROM conversations WHERE role IN ('system', 'user')),
+results AS (SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS call_id, text FROM conversations WHERE role NOT IN ('system', 'user')),
+lv AS (
+  SELECT c.conv_id, c.turn, 0 AS level FROM calls c
+  WHERE NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.turn IN (c.turn - 1, c.turn - 2))
+  UNION SELECT c.conv_id, c.turn, l.level + 1 FROM lv l JOIN calls c ON c.conv_id = l.conv_id AND c.turn IN (l.turn + 1, l.turn + 2)),
+top AS (SELECT conv_id, turn, max(level) AS level FROM lv GROUP BY conv_id, turn)
+SELECT c.conv_id, c.call_id, c.turn, c.tool, t.level, r.call_id IS NOT NULL AS linked,
+  array_to_string(list_filter([
+    CASE WHEN length(c.text) < 1 THEN 'too short prompt' WHEN length(c.text) > CASE c.tool WHEN 'reply' THEN 600 ELSE 400 END THEN 'too long prompt' END,
+    CASE WHEN r.call_id IS NULL THEN 'no result' END], lambda e: e IS NOT NULL), ', ') AS errors,
+  '{"arguments":{"prompt":' || to_json(c.text) || ',"turn":' || c.turn || '},"call_id":"' || c.call_id || '","result":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null')
+    || ',"tool":"' || c.tool || '"}' AS json
+FROM calls c JOIN top t USING (conv_id, turn) LEFT JOIN results r ON r.call_id = c.call_id
+UNION ALL
+SELECT r.conv_id, r.call_id, r.turn, NULL, NULL, FALSE, 'result without call',
+  '{"arguments":null,"call_id":"' || r.call_id || '","result":' || to_json(r.text) || ',"tool":null}'
+FROM results r ANTI JOIN calls c ON c.call_id = r.call_id"""
+
+
+@query("op8_tool_calls", _CALLS)
+def op8(spark, sf_dir):
+    """Every user turn calls 'reply', every system turn 'configure'; the next other turn is the result.
+
+    A call waits for the calls one and two turns before it.
+    """
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    name = lambda back: F.concat_ws(":", "conv_id", C("turn") - back)
+    asks = C("role").isin("system", "user")
+    before = turns.where(asks).select(C("conv_id"), C("turn").alias("earlier"))
+    calls = turns.where(asks).select(
+        "conv_id", name(0).alias("call_id"), "turn", F.when(C("role") == "system", "configure").otherwise("reply").alias("tool"),
+        F.to_json(F.struct("turn", C("text").alias("prompt"))).alias("arguments"), F.array(name(1), name(2)).alias("near"))
+    known = before.select("conv_id", F.concat_ws(":", "conv_id", "earlier").alias("id"))
+    after = calls.select("conv_id", "call_id", F.explode("near").alias("id")).join(known, ["conv_id", "id"], "left_semi").groupBy("conv_id", "call_id").agg(F.collect_set("id").alias("after"))
+    calls = calls.drop("near").join(after, ["conv_id", "call_id"], "left")
+    results = turns.where(~asks).select("conv_id", name(1).alias("call_id"), "turn", C("text").alias("content"))
+    schemas = spark.createDataFrame(_SCHEMAS, "tool string, name string, type string, required boolean, min_length int, max_length int")
+    return tool_calls.link_calls(calls, results, schemas).select(
+        "conv_id", "call_id", "turn", "tool", "level", "linked", F.array_join("errors", ", ").alias("errors"), "json")
+
+
 @query("op9_fingerprints")
 def op9(spark, sf_dir):
     return fingerprints.edited_pairs(documents(spark, sf_dir))

@@ -328,6 +328,28 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int =
     return beta
 
 
+def scores_of(texts: list[str | None], model: Model, automaton: Automaton) -> tuple[np.ndarray, list]:
+    """Score and hits of each text."""
+    found = [hits_of(t or "", automaton) if model.terms else ([], 0) for t in texts]
+    x = np.array([vector(h, n, model) for h, n in found]).reshape(len(found), N_FEATURES) / model.scale
+    z = np.clip(x @ model.beta[:-1] + model.beta[-1], -30, 30)
+    return 1 / (1 + np.exp(-z)) if model.terms else np.zeros(len(found)), [h for h, _ in found]
+
+
+def keep_below(docs: DataFrame, model: Model, limit: float) -> DataFrame:
+    """The rows of docs that score below the limit, all columns as given; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(shared.value.terms)
+        for batch in batches:
+            for part in words.slices(batch):
+                p, _ = scores_of(part.column("text").to_pylist(), shared.value, automaton)
+                yield part.filter(pa.array(p < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
     """doc_id, carried columns, score and hits for every whole text of docs(doc_id, text).
 
@@ -345,11 +367,8 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
         automaton = Automaton(m.terms)
         for batch in batches:
             for part in words.slices(batch):
-                found = [hits_of(t or "", automaton) if m.terms else ([], 0) for t in part.column("text").to_pylist()]
-                x = np.array([vector(h, n, m) for h, n in found]).reshape(len(found), N_FEATURES) / m.scale
-                z = np.clip(x @ m.beta[:-1] + m.beta[-1], -30, 30)
-                p = 1 / (1 + np.exp(-z)) if m.terms else np.zeros(len(found))
-                hits = [[{"term": m.terms[t][0], "edits": e, "quoted": f < 1, "at": at} for t, e, f, at in h] for h, _ in found]
+                p, found = scores_of(part.column("text").to_pylist(), m, automaton)
+                hits = [[{"term": m.terms[t][0], "edits": e, "quoted": f < 1, "at": at} for t, e, f, at in h] for h in found]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in ["doc_id", *carry]), pa.array(p, pa.float64()), pa.array(hits, hit_type)], ["doc_id", *carry, "score", "hits"])
 
