@@ -8,11 +8,17 @@ separately and their counts summed:
    else. Most documents lose too many there to reach the threshold and are done.
 2. Equal sets become one class; only its smallest document goes on.
 3. Candidates, first a few per document: the hub of all documents that share a
-   minimal n-gram. Their overlap is counted per fragment and summed per pair.
-   A large group of near copies is joined by these links, linear in its size.
-4. Candidates, exactly: documents of different components that share an n-gram
-   of their prefixes in the global order (a pair without one cannot reach the
-   threshold). Pairs inside a component need no look: they are connected.
+   minimal n-gram, the one with the most common n-grams. Their overlap is counted
+   per fragment and summed per pair. A large group of near copies is joined by
+   these links, linear in its size.
+4. Candidates, exactly. A document that reached none of its hubs takes the
+   closest one, p, as pivot: a partner not smaller than p must share enough
+   n-grams with it outside p, else p itself would have reached the threshold.
+   Only those are looked up, rarest first; they are few, since a stray copy
+   differs from p by what no other copy has. Documents without a pivot meet by
+   prefixes of the global order (a pair without a common n-gram there cannot
+   reach the threshold). Pairs inside a component need no look: they are
+   connected.
 """
 
 from __future__ import annotations
@@ -142,8 +148,10 @@ def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
     return batch.column("doc_id").to_numpy(zero_copy_only=False), [np.frombuffer(v, np.uint64) for v in batch.column("grams").to_pylist()]
 
 
-def prefixes(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """(doc_id, n, prefix): the n-grams that one of must be shared with any partner, rarest first.
+def ranked(sets: DataFrame, percent: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, weight, grams): the n-grams that also occur in another set, rarest first; and the table of n-grams by bucket.
+
+    weight is the mean logarithm of the document frequencies in the whole set.
 
     The global order is by document frequency among the given sets, then hash;
     n-grams of one document come first and need not be kept. Documents whose
@@ -154,11 +162,12 @@ def prefixes(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
         for batch in batches:
             ids, sets_ = _sets(batch)
             owner, gram = _flat(ids, sets_)
-            yield packets.pack(packets.buckets_of(gram, buckets), owner, gram)
+            size = np.array([len(s) for s in sets_], np.uint32)
+            yield packets.pack(packets.buckets_of(gram, buckets), owner, gram, np.repeat(size, size))
             zero = np.zeros(len(ids), np.uint64)
-            yield packets.pack(-1 - packets.spread_ids(ids, buckets), ids, zero, zero.astype(np.uint32), np.array([len(s) for s in sets_], np.uint32))
+            yield packets.pack(-1 - packets.spread_ids(ids, buckets), ids, zero, zero.astype(np.uint32), size)
 
-    def frequency(ids, gram):
+    def frequency(ids, gram, _):
         order = np.argsort(gram, kind="stable")
         ids, gram = ids[order], gram[order]
         first = _runs(gram)
@@ -177,41 +186,45 @@ def prefixes(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
         for lo, hi in zip(first, np.append(first[1:], len(ids))):
             n = int(size[lo:hi].max())
             g = gram[lo:hi][df[lo:hi] > 0]
-            spare = len(g) - int(needed(n, percent))
-            if spare >= 0 and n:
-                out.append((int(ids[lo]), n, g[: spare + 1].tobytes()))
+            if n and len(g) >= int(needed(n, percent)):
+                weight = float(np.log2(np.maximum(df[lo:hi], 1)).sum()) / n
+                out.append((int(ids[lo]), n, round(weight, 6), g.tobytes()))
         if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "n", "prefix"), r)) for r in out], schema=pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("prefix", pa.binary())]))
+            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "n", "weight", "grams"), r)) for r in out], schema=pa.schema(
+                [("doc_id", pa.int64()), ("n", pa.int64()), ("weight", pa.float64()), ("grams", pa.binary())]))
 
     found = written(sets.select("doc_id", "grams").mapInArrow(emit, packets.SCHEMA), "grams")
-    counted = packets.per_bucket(found.where(C("bucket") >= 0), (np.uint64,), frequency, packets.SCHEMA)
-    return packets.per_bucket(found.where(C("bucket") < 0).unionByName(counted), (np.uint64, np.uint32, np.uint32), choose, "doc_id bigint, n bigint, prefix binary")
+    by_gram = found.where(C("bucket") >= 0)
+    counted = packets.per_bucket(by_gram, (np.uint64, np.uint32), frequency, packets.SCHEMA)
+    out = packets.per_bucket(found.where(C("bucket") < 0).unionByName(counted), (np.uint64, np.uint32, np.uint32), choose, "doc_id bigint, n bigint, weight double, grams binary")
+    return written(out, "ranked"), by_gram
 
 
 def hub_pairs(sets: DataFrame, stars: int) -> DataFrame:
-    """(a, b): each document with the smallest one that has the same minimal n-gram, in `stars` hash orders."""
+    """(a, b): each document with the weightiest one that has the same minimal n-gram, in `stars` hash orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sets_ = _sets(batch)
             keys = [[int(words.mix(s * (_SALT + np.uint64(2 * k))).min().view(np.int64)) for k in range(stars)] for s in sets_]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("weight"), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "weight", "keys"])
 
-    keyed = written(sets.select("doc_id", "grams").mapInArrow(run, "doc_id bigint, keys array<bigint>").select("doc_id", F.posexplode("keys").alias("k", "key")), "minima")
-    hubs = keyed.groupBy("k", "key").agg(F.min("doc_id").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
+    keyed = written(sets.select("doc_id", "weight", "grams").mapInArrow(run, "doc_id bigint, weight double, keys array<bigint>").select("doc_id", "weight", F.posexplode("keys").alias("k", "key")), "minima")
+    hubs = keyed.groupBy("k", "key").agg(F.max(F.struct("weight", (-C("doc_id")).alias("minus"))).alias("hub"), F.count("*").alias("c")).where("c > 1").select("k", "key", (-C("hub.minus")).alias("b"))
     return spread_join(keyed, hubs, ["k", "key"], "inner", C("doc_id")).where("doc_id <> b").select(C("doc_id").alias("a"), "b").distinct()
 
 
 def cross_pairs(rows: DataFrame, percent: int, buckets: int) -> DataFrame:
     """(a, b), a < b: documents of different components that share a prefix n-gram and are not too different in size.
 
-    rows: doc_id, n, prefix, component.
+    rows: doc_id, n, grams (ranked), component.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, n, comp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "component"))
-            sets_ = [np.frombuffer(v, np.uint64) for v in batch.column("prefix").to_pylist()]
+            sets_ = [np.frombuffer(v, np.uint64) for v in batch.column("grams").to_pylist()]
+            sets_ = [s[: len(s) - int(needed(k, percent)) + 1] for s, k in zip(sets_, n)]
             owner, gram = _flat(np.arange(len(ids)), sets_)
             yield packets.pack(packets.buckets_of(gram, buckets), ids[owner], gram, comp[owner], n[owner].astype(np.uint32))
 
@@ -248,8 +261,76 @@ def _distinct(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int, fragments: int = FRAGMENTS) -> DataFrame:
-    """The pairs (a, b) that reach the threshold: overlaps counted per fragment of the n-gram order, summed per pair."""
+def probes_of(grams: np.ndarray, pivot: np.ndarray, n: int, n_pivot: int, common: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams of a document to look up, and the largest partner size that each is needed for.
+
+    Let m be the n-grams that two sets of given sizes must have in common. A
+    partner not smaller than the pivot needs m - common of them outside the
+    pivot. For a partner smaller by k, leave k common n-grams out of the pivot:
+    it still misses the threshold and is not larger than the partner. Of x
+    candidates that a partner has g of, any x - g + 1 contain one, so the
+    rarest outside come first, then those left out of the pivot.
+    """
+    at = pivot.searchsorted(grams)
+    at[at == len(pivot)] = 0
+    inside = pivot[at] == grams if len(pivot) else np.zeros(len(grams), bool)
+    out = grams[~inside]
+    k = np.arange(max(0, n_pivot - int(needed(np.int64(n), percent))) + 1)
+    must = -(-percent * (n + n_pivot - k) // (100 + percent)) - (common - k)
+    length = np.maximum.accumulate(np.maximum(0, len(out) + k - must + 1))
+    chosen = np.concatenate([out, grams[inside]])[: length[-1]]
+    least_k = np.searchsorted(length, np.arange(len(chosen)), side="right")
+    return chosen, np.where(least_k == 0, 2**32 - 1, n_pivot - least_k).astype(np.uint32)
+
+
+def pivot_pairs(pivots: DataFrame, order: DataFrame, sets: DataFrame, by_gram: DataFrame, info: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """(a, b), a < b: documents with a pivot and those of other components that share a looked-up n-gram.
+
+    pivots: a, pivot, common (n-grams of both). info: doc_id, component.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("a", "n", "n_pivot", "common", "grams", "pivot_grams")]
+            found = [(a, n, *probes_of(np.frombuffer(x, np.uint64), np.frombuffer(p, np.uint64), n, m, c, percent)) for a, n, m, c, x, p in zip(*columns)]
+            count = [len(f[2]) for f in found]
+            owner, size = (np.repeat(np.array([f[i] for f in found], np.int64), count) for i in (0, 1))
+            gram, most = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, t) for i, t in ((2, np.uint64), (3, np.uint32)))
+            yield packets.pack(packets.buckets_of(gram, buckets), owner, gram, most, size.astype(np.uint32), np.zeros(len(gram), np.uint8))
+
+    def look_up(held, asked):
+        (ids, gram, n, _), (a, x, most, size) = held, asked
+        known, number = np.unique(gram, return_inverse=True)
+        key = (number.astype(np.uint64) << np.uint64(32)) + n
+        order_ = np.argsort(key, kind="stable")
+        ids, key = ids[order_], key[order_]
+        at = np.searchsorted(known, x)
+        there = np.flatnonzero(at < len(known))
+        there = there[known[at[there]] == x[there]]
+        a, at, most, size = a[there], at[there].astype(np.uint64) << np.uint64(32), most[there].astype(np.int64), size[there].astype(np.int64)
+        low, high = -(-percent * size // 100), np.minimum(most, 100 * size // percent)
+        lo = np.searchsorted(key, at + low.astype(np.uint64), "left")
+        hi = np.maximum(lo, np.searchsorted(key, at + np.maximum(high, 0).astype(np.uint64), "right"))
+        for s in range(0, len(a), 65536):
+            c = (hi - lo)[s : s + 65536]
+            place = np.repeat(lo[s : s + 65536] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())
+            mine, other = np.repeat(a[s : s + 65536], c), ids[place]
+            apart = mine != other
+            if apart.any():
+                pairs = np.unique(np.stack([mine[apart], other[apart]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    both = pivots.join(order.select(C("doc_id").alias("a"), "n", "grams"), "a").join(
+        sets.select(C("doc_id").alias("pivot"), C("n").alias("n_pivot"), C("grams").alias("pivot_grams")), "pivot")
+    probes = both.select("a", "n", "n_pivot", "common", "grams", "pivot_grams").mapInArrow(ask, packets.SCHEMA)
+    found = packets.per_bucket(by_gram.unionByName(probes), (np.uint64, np.uint32, np.uint32), look_up, "a bigint, b bigint", marked=True)
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    of = lambda c: info.select(C("doc_id").alias(c), C("component").alias(f"component_{c}"))
+    return found.join(of("a"), "a").join(of("b"), "b").where("component_a <> component_b").select("a", "b")
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
+    """(a, b, size, common) of each pair: n-grams of both sets, and common ones, counted per fragment of the order and summed."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array([int(2**64 * f / fragments) for f in range(1, fragments)], np.uint64)
@@ -257,7 +338,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, fragments: int = FRA
             ids, sets_ = _sets(batch)
             rows = []
             for i, s in zip(ids.tolist(), sets_):
-                rows += [(i, len(s), f, part.tobytes()) for f, part in enumerate(np.split(s, np.searchsorted(s, edges))) if len(part)]
+                rows += [(i, len(s), f, part.tobytes()) for f, part in enumerate(np.split(s, np.searchsorted(s, edges)))]
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "n", "f", "part"), r)) for r in rows], schema=pa.schema(
                 [("doc_id", pa.int64()), ("n", pa.int64()), ("f", pa.int32()), ("part", pa.binary())]))
 
@@ -268,7 +349,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, fragments: int = FRA
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 at = y.searchsorted(x)
                 at[at == len(y)] = 0
-                common.append(int((y[at] == x).sum()))
+                common.append(int((y[at] == x).sum()) if len(y) else 0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "size")), pa.array(common, pa.int64())], ["a", "b", "size", "common"])
 
     ends = pairs.select(C("a").alias("doc_id")).unionByName(pairs.select(C("b").alias("doc_id"))).distinct()
@@ -276,8 +357,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, fragments: int = FRA
     left = parts.select(C("doc_id").alias("a"), C("n").alias("n_a"), "f", C("part").alias("part_a"))
     right = parts.select(C("doc_id").alias("b"), C("n").alias("n_b"), "f", C("part").alias("part_b"))
     met = pairs.join(left, "a").join(right, ["b", "f"]).select("a", "b", (C("n_a") + C("n_b")).alias("size"), "part_a", "part_b")
-    counted = met.mapInArrow(overlap, "a bigint, b bigint, size bigint, common bigint").groupBy("a", "b").agg(F.max("size").alias("size"), F.sum("common").alias("common"))
-    return counted.where(100 * C("common") >= percent * (C("size") - C("common"))).select("a", "b")
+    return met.mapInArrow(overlap, "a bigint, b bigint, size bigint, common bigint").groupBy("a", "b").agg(F.max("size").alias("size"), F.sum("common").alias("common"))
 
 
 def similar_groups(docs: DataFrame, n: int = NGRAM, percent: int = 75) -> DataFrame:
@@ -298,12 +378,18 @@ def similar_groups(docs: DataFrame, n: int = NGRAM, percent: int = 75) -> DataFr
     classes = sets.groupBy("n", "digest").agg(F.min("doc_id").alias("class_id"))
     members = written(spread_join(sets.select("doc_id", "n", "digest"), classes, ["n", "digest"], "inner", C("doc_id")).select("doc_id", "class_id").distinct(), "members")
     first = sets.join(members.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    order = written(prefixes(first, percent, buckets), "prefixes")
-    sets = written(first.join(order.select("doc_id"), "doc_id", "left_semi"), "classes")
-    stars = written(linked(written(hub_pairs(sets, STARS), "hubs"), sets, percent), "star_links")
-    known = components(stars)
-    rows = order.join(known, C("doc_id") == C("node"), "left").select("doc_id", "n", "prefix", F.coalesce("component", "doc_id").alias("component"))
-    more = linked(written(cross_pairs(rows, percent, buckets), "candidates"), sets, percent)
+    order, by_gram = ranked(first, percent, buckets)
+    sets = written(first.join(order.select("doc_id", "weight"), "doc_id"), "classes")
+    reached = 100 * C("common") >= percent * (C("size") - C("common"))
+    counted = written(overlaps(written(hub_pairs(sets, STARS), "hubs"), sets), "hub_overlaps").withColumn("reached", reached)
+    stars = counted.where("reached").select("a", "b")
+    pivots = counted.groupBy("a").agg(F.max("reached").alias("any"), F.max(F.struct("common", "b")).alias("p")).where("NOT any").select("a", C("p.b").alias("pivot"), "p.common")
+    pivots = written(pivots, "pivots")
+    info = written(order.select("doc_id").join(components(stars), C("doc_id") == C("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")), "info")
+    others = order.join(pivots, C("doc_id") == C("a"), "left_anti").join(info, "doc_id").select("doc_id", "n", "grams", "component")
+    candidates = written(cross_pairs(others, percent, buckets).unionByName(
+        pivot_pairs(pivots, order, sets, by_gram, info, percent, buckets)).distinct(), "candidates")
+    more = overlaps(candidates, sets).where(reached).select("a", "b")
     final = components(stars.unionByName(more))
     grouped = members.join(final, C("class_id") == C("node"), "left").select(C("doc_id").alias("member"), "class_id", F.coalesce("component", "class_id").alias("component"))
     return sizes.join(grouped, C("doc_id") == C("member"), "left").select(

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-COLUMNS = 3
+COLUMNS = 4
 SCHEMA = "bucket int, ids binary, counts binary, " + ", ".join(f"c{i} binary" for i in range(COLUMNS))
 ARROW = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), *((f"c{i}", pa.binary()) for i in range(COLUMNS))])
 
@@ -49,17 +49,26 @@ def pack(bucket: np.ndarray, ids: np.ndarray, *columns: np.ndarray) -> pa.Record
 def unpack(table: pa.Table | pa.RecordBatch, types: Sequence[type]) -> tuple[np.ndarray, ...]:
     """Ids and columns of all entries of some packet rows."""
     def joined(name, dtype):
-        return np.concatenate([np.frombuffer(v, dtype) for v in table.column(name).to_pylist()] or [np.zeros(0, dtype)])
+        return np.concatenate([np.frombuffer(v, dtype) for v in table.column(name).to_pylist() if v is not None] or [np.zeros(0, dtype)])
 
     ids = np.repeat(joined("ids", np.int64), joined("counts", np.uint32))
     return ids, *(joined(f"c{i}", t) for i, t in enumerate(types))
 
 
-def per_bucket(packets: DataFrame, types: Sequence[type], fn: Callable[..., Iterator[pa.RecordBatch] | None], schema: str) -> DataFrame:
-    """Run fn(ids, *columns) on all entries of each bucket; buckets are hash ranges, so they are even."""
+def per_bucket(packets: DataFrame, types: Sequence[type], fn: Callable[..., Iterator[pa.RecordBatch] | None], schema: str, marked: bool = False) -> DataFrame:
+    """Run fn(ids, *columns) on all entries of each bucket; buckets are hash ranges, so they are even.
+
+    With marked, the entries of rows whose last column is set come apart:
+    fn((ids, *columns) without, (ids, *columns) with it).
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        made = [b for b in fn(*unpack(table, types)) if b is not None]
+        if marked:
+            has = pc.is_valid(table.column(f"c{COLUMNS - 1}"))
+            parts = [unpack(table.filter(pc.invert(has)), types), unpack(table.filter(has), types)]
+        else:
+            parts = unpack(table, types)
+        made = [b for b in fn(*parts) if b is not None]
         return pa.Table.from_batches(made) if made else None
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
