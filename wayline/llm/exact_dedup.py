@@ -63,5 +63,6 @@ def exact_copies(docs: DataFrame, prefix_chars: int = 64, hash_all: bool = False
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, all columns as given; one row where id and text repeat."""
-    kept = exact_copies(docs).where("kept").select(C("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = exact_copies(docs).where("kept").select(C("doc_id").alias("kept_id"), C("text_hash").alias("kept_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (kept["kept_hash"].isNull() | (kept["kept_hash"] == F.sha2(F.coalesce(docs["text"], F.lit("")), 256)))
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])

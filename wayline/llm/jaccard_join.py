@@ -352,11 +352,10 @@ def overlaps(pairs: DataFrame, sets: DataFrame, fragments: int = FRAGMENTS) -> D
                 common.append(int((y[at] == x).sum()) if len(y) else 0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "size")), pa.array(common, pa.int64())], ["a", "b", "size", "common"])
 
-    ends = pairs.select(C("a").alias("doc_id")).unionByName(pairs.select(C("b").alias("doc_id"))).distinct()
-    parts = written(sets.join(ends, "doc_id", "left_semi").select("doc_id", "grams").mapInArrow(cut, "doc_id bigint, n bigint, f int, part binary"), "parts")
+    parts = sets.select("doc_id", "grams").mapInArrow(cut, "doc_id bigint, n bigint, f int, part binary")
     left = parts.select(C("doc_id").alias("a"), C("n").alias("n_a"), "f", C("part").alias("part_a"))
     right = parts.select(C("doc_id").alias("b"), C("n").alias("n_b"), "f", C("part").alias("part_b"))
-    met = pairs.join(left, "a").join(right, ["b", "f"]).select("a", "b", (C("n_a") + C("n_b")).alias("size"), "part_a", "part_b")
+    met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), ["b", "f"]).select("a", "b", (C("n_a") + C("n_b")).alias("size"), "part_a", "part_b")
     return met.mapInArrow(overlap, "a bigint, b bigint, size bigint, common bigint").groupBy("a", "b").agg(F.max("size").alias("size"), F.sum("common").alias("common"))
 
 
@@ -371,17 +370,18 @@ def similar_groups(docs: DataFrame, n: int = NGRAM, percent: int = 75) -> DataFr
     """
     spark = docs.sparkSession
     docs = docs.where(C("doc_id").isNotNull()).select(C("doc_id").cast("bigint").alias("doc_id"), "text")
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the joins below have two sides that grow with the corpus: merge joins at every size
     sizes = written(shared_counts(docs, n, buckets), "counts")
     alive = sizes.where((C("n") > 0) & (100 * (C("n") - C("t") + C("r")) >= percent * C("n"))).select("doc_id")
-    sets = written(full_sets(docs.join(alive, "doc_id", "left_semi"), n), "sets")
+    sets = written(full_sets(docs.join(alive.hint("merge"), "doc_id", "left_semi"), n), "sets")
     classes = sets.groupBy("n", "digest").agg(F.min("doc_id").alias("class_id"))
     members = written(spread_join(sets.select("doc_id", "n", "digest"), classes, ["n", "digest"], "inner", C("doc_id")).select("doc_id", "class_id").distinct(), "members")
-    first = sets.join(members.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    order, by_gram = ranked(first, percent, buckets)
-    sets = written(first.join(order.select("doc_id", "weight"), "doc_id"), "classes")
+    sets = written(sets.join(members.where("doc_id = class_id").select("doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "classes")
+    order, by_gram = ranked(sets, percent, buckets)
     reached = 100 * C("common") >= percent * (C("size") - C("common"))
-    counted = written(overlaps(written(hub_pairs(sets, STARS), "hubs"), sets), "hub_overlaps").withColumn("reached", reached)
+    hubs = written(hub_pairs(sets.join(order.select("doc_id", "weight").hint("merge"), "doc_id"), STARS), "hubs")
+    counted = written(overlaps(hubs, sets), "hub_overlaps").withColumn("reached", reached)
     stars = counted.where("reached").select("a", "b")
     pivots = counted.groupBy("a").agg(F.max("reached").alias("any"), F.max(F.struct("common", "b")).alias("p")).where("NOT any").select("a", C("p.b").alias("pivot"), "p.common")
     pivots = written(pivots, "pivots")
@@ -389,7 +389,8 @@ def similar_groups(docs: DataFrame, n: int = NGRAM, percent: int = 75) -> DataFr
     others = order.join(pivots, C("doc_id") == C("a"), "left_anti").join(info, "doc_id").select("doc_id", "n", "grams", "component")
     candidates = written(cross_pairs(others, percent, buckets).unionByName(
         pivot_pairs(pivots, order, sets, by_gram, info, percent, buckets)).distinct(), "candidates")
-    more = overlaps(candidates, sets).where(reached).select("a", "b")
+    ends = candidates.select(C("a").alias("doc_id")).unionByName(candidates.select(C("b").alias("doc_id"))).distinct()
+    more = overlaps(candidates, sets.join(ends.hint("merge"), "doc_id", "left_semi")).where(reached).select("a", "b")
     final = components(stars.unionByName(more))
     grouped = members.join(final, C("class_id") == C("node"), "left").select(C("doc_id").alias("member"), "class_id", F.coalesce("component", "class_id").alias("component"))
     return sizes.join(grouped, C("doc_id") == C("member"), "left").select(
