@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -262,10 +264,18 @@ def competitors(
     return out
 
 
-def modality_of_files(files: DataFrame, name: str = "file") -> DataFrame:
-    """One bucket for a set of result files, by the strongest marker in any name."""
+def union_results(*files: DataFrame) -> DataFrame:
+    """All result tables as one relation; columns meet by name, a missing one is null."""
+    out = files[0]
+    for more in files[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
+def modality_of_files(files: DataFrame, name: str = "file", by: Sequence[str] = ()) -> DataFrame:
+    """One bucket for each set of result files, by the strongest marker in any name."""
     has = lambda mark: F.coalesce(F.bool_or(F.contains(name, F.lit(mark))), F.lit(False))
-    return files.agg(
+    return files.groupBy(*by).agg(
         F.when(has("_augmented_"), "augmented").when(has("_video_prior"), "video_prior")
         .when(has("_image_prior_normal"), "image_prior").when(has("_prior_only"), "prior_only")
         .alias("modality")

@@ -227,3 +227,9 @@ def answers_per_model(results: DataFrame, modality: str | None = None, company:
 
 def distinct_values(samples: DataFrame, col: Column, name: str) -> DataFrame:
     return samples.select(col.alias(name)).distinct().orderBy(name)
+
+
+def list_routes(steps: DataFrame) -> DataFrame:
+    """Every route with the totals of its steps."""
+    return steps.groupBy("route_id").agg(
+        F.count("*").alias("steps_count"), F.sum("distance_m").alias("total_distance_m"), F.sum("duration_s").alias("total_duration_s"))

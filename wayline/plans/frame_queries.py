@@ -205,13 +205,13 @@ def _(spark, sf):
 
 
 @query("frame_content_dedup", """
-WITH base AS (SELECT lang AS sample_id, doc_id, doc_id % 700 AS path, CASE WHEN doc_id % 50 <> 0 THEN md5(text) END AS digest FROM documents),
+WITH base AS (SELECT lang AS sample_id, doc_id, CAST(FLOOR(doc_id / 3) AS BIGINT) AS path, CASE WHEN doc_id % 50 <> 0 THEN md5(text) END AS digest FROM documents),
   by_path AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, path ORDER BY doc_id) AS rn FROM base) WHERE rn = 1)
 SELECT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, digest ORDER BY doc_id) AS k FROM by_path) WHERE digest IS NULL OR k = 1""")
 def _(spark, sf):
     d = F.col("doc_id")
     frames = t.table(spark, sf, "documents").select(
-        F.col("lang").alias("sample_id"), "doc_id", (d % 700).alias("path"), F.when(d % 50 != 0, F.md5("text")).alias("digest")
+        F.col("lang").alias("sample_id"), "doc_id", F.floor(d / 3).alias("path"), F.when(d % 50 != 0, F.md5("text")).alias("digest")
     )
     return fop.distinct_content(frames, ["sample_id"], "doc_id").select("doc_id")
 

@@ -77,10 +77,9 @@ def _(spark, sf):
 
 
 @query("resume_anti", with_views("a_samples a_results", """
-SELECT sample_id FROM a_samples WHERE sample_id NOT IN (SELECT sample_id FROM a_results WHERE error IS NULL AND modality = 'prior')"""))
+SELECT sample_id FROM a_samples WHERE sample_id NOT IN (SELECT sample_id FROM a_results WHERE error IS NULL)"""))
 def _(spark, sf):
-    mine = t.results(spark, sf).where((F.col("modality") == "prior") | F.col("error").isNotNull())
-    return joins.pending_samples(t.samples(spark, sf), mine).select("sample_id")
+    return joins.pending_samples(t.samples(spark, sf), t.results(spark, sf)).select("sample_id")
 
 
 @query("semi_gt_only", with_views("a_votes a_gt", """
@@ -104,10 +103,9 @@ def _(spark, sf):
 
 @query("left_result_counts", with_views("a_samples a_results", """
 SELECT s.sample_id, COALESCE(n, 0) AS result_count FROM a_samples s
-LEFT JOIN (SELECT sample_id, COUNT(*) AS n FROM a_results WHERE modality = 'prior' GROUP BY sample_id) r USING (sample_id)"""))
+LEFT JOIN (SELECT sample_id, COUNT(*) AS n FROM a_results GROUP BY sample_id) r USING (sample_id)"""))
 def _(spark, sf):
-    prior = t.results(spark, sf).where(F.col("modality") == "prior")
-    return joins.with_result_counts(t.samples(spark, sf), prior).select("sample_id", "result_count")
+    return joins.with_result_counts(t.samples(spark, sf), t.results(spark, sf)).select("sample_id", "result_count")
 
 
 HASH = "CAST('0x' || left(md5({0}), 8) AS BIGINT)"
@@ -292,12 +290,14 @@ def _(spark, sf):
 
 
 @query("union_results", with_views("a_results", """
-SELECT ordinal, sample_id, model_id, CASE WHEN modality = 'prior' THEN NULL ELSE latency_ms END AS latency_ms FROM a_results WHERE modality IN ('prior', 'video + prior')"""))
+SELECT ordinal, sample_id, model_id, CASE WHEN modality <> 'prior' THEN latency_ms END AS latency_ms, CASE WHEN modality = 'augment + prior' THEN augment END AS augment FROM a_results"""))
 def _(spark, sf):
-    res = t.results(spark, sf)
-    one = res.where(F.col("modality") == "prior").select("ordinal", "sample_id", "model_id")
-    two = res.where(F.col("modality") == "video + prior").select("ordinal", "model_id", "sample_id", "latency_ms")
-    return one.unionByName(two, allowMissingColumns=True)
+    """One file per modality, each with columns of its own and in its own order."""
+    files = t.results(spark, sf)
+    of = lambda modality, *columns: files.where(F.col("modality") == modality).select(*columns)
+    return joins.union_results(
+        of("prior", "ordinal", "sample_id", "model_id"), of("video + prior", "ordinal", "model_id", "sample_id", "latency_ms"),
+        of("image + prior", "latency_ms", "ordinal", "sample_id", "model_id"), of("augment + prior", "augment", "ordinal", "sample_id", "model_id", "latency_ms"))
 
 
 @query("add_competitors", with_views("a_results a_gt a_samples", """

@@ -3,7 +3,7 @@
 VIEWS = {
     "a_steps": """
 SELECT 'city' || (l_orderkey % 5) || '_route' || l_orderkey AS route_id,
-  CAST(l_linenumber - 1 AS INT) AS step_index,
+  CAST(line - 1 AS INT) AS step_index,
   CAST(q * 5 AS INT) AS distance_m,
   CAST(FLOOR(price / CAST(1000 AS DOUBLE)) AS INT) AS duration_s,
   CAST(pk % 31 AS INT) AS type_code,
@@ -12,10 +12,9 @@ SELECT 'city' || (l_orderkey % 5) || '_route' || l_orderkey AS route_id,
   CAST(15302000 + sk % 1000 * 10 AS BIGINT) AS lng_e5,
   CASE WHEN rf = 'N' THEN '' ELSE 'Turn ' || LOWER(rf) || ' onto Road ' || sk END AS instruction,
   q, pk, sk, rf
-FROM (SELECT l_orderkey, l_linenumber, CAST(SUM(l_quantity) AS BIGINT) AS q,
-        MAX(l_extendedprice) AS price, MIN(l_partkey) AS pk, MIN(l_suppkey) AS sk,
-        MAX(l_returnflag) AS rf
-      FROM lineitem GROUP BY l_orderkey, l_linenumber)""",
+FROM (SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS q, l_extendedprice AS price, l_partkey AS pk, l_suppkey AS sk, l_returnflag AS rf,
+        ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS line
+      FROM lineitem)""",
     "a_points": """
 SELECT s.*, CAST(i AS INT) AS pt_idx, n_points,
   CAST(lat_e5 + i * q * (pk % 5 - 2) AS BIGINT) AS plat_e5,

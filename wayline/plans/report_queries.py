@@ -393,6 +393,8 @@ def _(spark, sf):
     return pairwise.weighted_sample(rows, F.col("sample_id"), F.coalesce("w", F.lit(1.0)), 150).select("sample_id")
 
 
-@query("list_routes", with_views("a_steps", "SELECT DISTINCT route_id FROM a_steps WHERE step_index = 0"))
+@query("list_routes", with_views("a_steps", """
+SELECT route_id, COUNT(*) AS steps_count, CAST(SUM(distance_m) AS BIGINT) AS total_distance_m, CAST(SUM(duration_s) AS BIGINT) AS total_duration_s
+FROM a_steps GROUP BY route_id"""))
 def _(spark, sf):
-    return reports.distinct_values(t.steps(spark, sf).where(F.col("step_index") == 0), F.col("route_id"), "route_id")
+    return reports.list_routes(t.steps(spark, sf))

@@ -169,19 +169,19 @@ def _(spark, sf):
     return readers.read_samples(spark, path).select("id", shown.alias("frames"))
 
 
-_FILENAMES = "SELECT DISTINCT model_id, 'results_' || replace(model_id, '/', '_') || CASE modality WHEN 'video + prior' THEN '_video_prior_normal' WHEN 'image + prior' THEN '_image_prior_normal' WHEN 'prior' THEN '_prior_only' ELSE '_video_prior_augmented_fog' END || '.jsonl' AS file FROM a_results"
+_FILENAMES = "SELECT DISTINCT sample_id, 'results_' || replace(model_id, '/', '_') || CASE modality WHEN 'video + prior' THEN '_video_prior_normal' WHEN 'image + prior' THEN '_image_prior_normal' WHEN 'prior' THEN '_prior_only' ELSE '_video_prior_augmented_fog' END || '.jsonl' AS file FROM a_results"
 
 
 @query("detect_modality", with_views("a_results", """
-SELECT CASE WHEN bool_or(contains(file, '_augmented_')) THEN 'augmented' WHEN bool_or(contains(file, '_video_prior')) THEN 'video_prior'
-  WHEN bool_or(contains(file, '_image_prior_normal')) THEN 'image_prior' WHEN bool_or(contains(file, '_prior_only')) THEN 'prior_only' END AS modality FROM files WHERE NOT contains(file, '_augmented_')""", files=_FILENAMES))
+SELECT sample_id, CASE WHEN bool_or(contains(file, '_augmented_')) THEN 'augmented' WHEN bool_or(contains(file, '_video_prior')) THEN 'video_prior'
+  WHEN bool_or(contains(file, '_image_prior_normal')) THEN 'image_prior' WHEN bool_or(contains(file, '_prior_only')) THEN 'prior_only' END AS modality FROM files GROUP BY sample_id""", files=_FILENAMES))
 def _(spark, sf):
     tail = (
         F.when(C("modality") == "video + prior", "_video_prior_normal").when(C("modality") == "image + prior", "_image_prior_normal")
         .when(C("modality") == "prior", "_prior_only").otherwise("_video_prior_augmented_fog"))
     name = F.concat(F.lit("results_"), F.replace("model_id", F.lit("/"), F.lit("_")), tail, F.lit(".jsonl"))
-    files = t.results(spark, sf).select(name.alias("file")).distinct().where(~F.contains("file", F.lit("_augmented_")))
-    return joins.modality_of_files(files)
+    files = t.results(spark, sf).select("sample_id", name.alias("file")).distinct()
+    return joins.modality_of_files(files, by=["sample_id"])
 
 
 # --- streams ---------------------------------------------------------------------

@@ -5,7 +5,7 @@ Each function here has a SQL twin of the same name in ``oracle_views``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STRINGS = "array<string>"
@@ -22,21 +22,15 @@ def _text(*parts) -> Column:
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per route step: route = order, step = line number."""
-    lines = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey", "l_linenumber")
-        .agg(
-            F.sum("l_quantity").cast("bigint").alias("q"),
-            F.max("l_extendedprice").alias("price"),
-            F.min("l_partkey").alias("pk"),
-            F.min("l_suppkey").alias("sk"),
-            F.max("l_returnflag").alias("rf"),
-        )
+    """One row per route step: route = order, step = place of the line in its order (an order has few lines)."""
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.row_number().over(place).alias("line"), F.col("l_quantity").cast("bigint").alias("q"), F.col("l_extendedprice").alias("price"),
+        F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"), F.col("l_returnflag").alias("rf"),
     )
     return lines.select(
         _text("city", F.col("l_orderkey") % 5, "_route", F.col("l_orderkey")).alias("route_id"),
-        (F.col("l_linenumber") - 1).cast("int").alias("step_index"),
+        (F.col("line") - 1).cast("int").alias("step_index"),
         (F.col("q") * 5).cast("int").alias("distance_m"),
         F.floor(F.col("price") / 1000.0).cast("int").alias("duration_s"),
         (F.col("pk") % 31).cast("int").alias("type_code"),
