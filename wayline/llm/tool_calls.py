@@ -25,7 +25,7 @@ def levels(calls: DataFrame, waits: DataFrame) -> DataFrame:
     the calls whose last awaited call was settled before, so there are as many
     rounds as levels; each is written. Calls on or behind a cycle get no row.
     """
-    counts = waits.groupBy(*KEY).agg(F.count("*").alias("n"))
+    counts = written(waits.groupBy(*KEY).agg(F.count("*").alias("n")), "waiting")
     done = newest = written(calls.join(counts, KEY, "left_anti").select(*KEY, F.lit(0).alias("level")), "level")
     # per waiting call: awaited calls settled so far, and the highest level among them
     met = None
@@ -81,12 +81,14 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     first = calls.where(C("call_id").isNotNull() & C("conv_id").isNotNull()).groupBy(*KEY).agg(F.min(F.struct("turn", "tool", "arguments", "after")).alias("c"), F.count("*").alias("copies"))
     unique = written(first.select(*KEY, "c.*", "copies"), "calls")
     ids = unique.select(*KEY)
-    asked = unique.select(*KEY, F.explode(F.array_distinct("after")).alias("after"))
-    waits = written(asked.join(ids.select("conv_id", C("call_id").alias("after")), ["conv_id", "after"], "left_semi").select(*KEY, "after"), "waits")
-    lost = asked.join(ids.select("conv_id", C("call_id").alias("after")), ["conv_id", "after"], "left_anti").select(*KEY).distinct().withColumn("lost", F.lit(True))
+    # each step is written: the plans stay small, and so does the driver
+    existing = ids.select("conv_id", C("call_id").alias("after"), F.lit(True).alias("known"))
+    asked = written(unique.select(*KEY, F.explode(F.array_distinct("after")).alias("after")).join(existing, ["conv_id", "after"], "left"), "asked")
+    waits = asked.where("known").select(*KEY, "after")
+    lost = asked.where("known IS NULL").select(*KEY).distinct().withColumn("lost", F.lit(True))
     got = results.where(C("call_id").isNotNull() & C("conv_id").isNotNull()).groupBy(*KEY).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
     specs = schemas.groupBy("tool").agg(F.array_sort(F.collect_list(F.struct("name", "type", "required", "min_length", "max_length"))).alias("specs"))
-    joined = unique.join(levels(ids, waits), KEY, "left").join(got, KEY, "left").join(lost, KEY, "left")
+    joined = written(unique.join(written(levels(ids, waits), "levels"), KEY, "left").join(got, KEY, "left").join(lost, KEY, "left"), "joined")
     joined = spread_join(joined, specs, ["tool"], "left", F.struct(*KEY))
     args = F.expr("cast(try_parse_json(arguments) as map<string, variant>)")
     is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("arguments")).startswith("OBJECT"), F.lit(False))
@@ -109,4 +111,5 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     orphans = results.join(ids, KEY, "left_anti").select(*KEY, "turn", F.lit(None).cast("string").alias("tool"), F.lit(None).cast("string").alias("arguments"), "content")
     orphan_rows = orphans.select(*KEY, "turn", "tool", F.lit(None).cast("int").alias("level"), F.lit(False).alias("linked"), F.lit(1).cast("long").alias("n_results"), F.array(F.lit("result without call")).alias("errors"),
                                  F.to_json(F.struct("arguments", "call_id", C("content").alias("result"), "tool"), {"ignoreNullFields": "false"}).alias("json"))
-    return linked.unionByName(unlinked(extra, "repeated identifier")).unionByName(unlinked(nameless, "no identifier")).unionByName(orphan_rows)
+    rest = unlinked(extra, "repeated identifier").unionByName(unlinked(nameless, "no identifier")).unionByName(orphan_rows)
+    return linked.unionByName(written(rest, "unlinked"))
