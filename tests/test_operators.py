@@ -1,3 +1,4 @@
+import pytest
 import itertools
 import json
 import math
@@ -108,7 +109,7 @@ def test_majority(spark):
 def test_ratings_order_strong_models_first(spark):
     rows = [("a", "b", "a")] * 8 + [("b", "c", "b")] * 8 + [("a", "c", "a")] * 8 + [("a", "b", None)] * 2
     df = spark.createDataFrame(rows, "model_a string, model_b string, majority_winner string")
-    rating = {r.model_id: r.rating for r in pairwise.ratings(df, rounds=12).collect()}
+    rating = {r.model_id: r.rating for r in pairwise.ratings(df).collect()}
     assert rating["a"] > rating["b"] > rating["c"]
 
 
@@ -225,3 +226,24 @@ def test_directions(spark):
     assert [(r.leg_index, r.step_index) for r in sorted(rows, key=lambda r: (r.leg_index, r.step_index))] == [(0, 0), (0, 1), (1, 0)]
     assert {(r.instruction, tuple(r.street_names), r.maneuver_code, r.continue_text) for r in rows} == {
         ("Turn left onto A Rd", ("A Rd",), 15, "Continue for 120 meters.")}
+
+
+def test_one_vote_is_no_majority(spark):
+    from wayline.operators import pairwise
+
+    vote = lambda w, e=None: ("j", w, e)
+    rows = [(0, [vote("A"), vote("B", "timeout"), vote("B", "timeout")]), (1, [vote("A"), vote("A"), vote("B")]), (2, [vote("B"), vote("B"), vote("A", "x")]), (3, [vote("A"), vote("B"), vote("tie")])]
+    df = spark.createDataFrame([(k, "m1", "m2", v) for k, v in rows], "k int, model_a string, model_b string, judge_votes array<struct<judge_model:string,winner:string,error:string>>")
+    assert [r.majority_winner for r in pairwise.majority(df).orderBy("k").collect()] == [None, "m1", "m2", None]
+
+
+def test_ratings_settle_or_fail(spark):
+    from wayline.operators import pairwise
+
+    games = spark.createDataFrame([("a", "b", "a")] * 9 + [("a", "b", "b"), ("b", "c", "b"), ("b", "c", None)], "model_a string, model_b string, majority_winner string")
+    got = {r.model_id: r.rating for r in pairwise.ratings(games).collect()}
+    assert got["a"] > got["b"] > got["c"] and abs(sum(got.values()) / 3 - 1000) < 1e-6
+    with pytest.raises(RuntimeError):
+        pairwise.ratings(games, most_rounds=2)
+    with pytest.raises(ValueError):
+        pairwise.ratings(games, most_models=2)

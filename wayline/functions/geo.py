@@ -75,6 +75,7 @@ def path_length(points: Column) -> Column:
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 CLOSING = "".join(chr(63 + d) for d in range(32))
 OPEN = "".join(chr(95 + d) for d in range(32))
+MOST_DIGITS = 7
 
 
 def _zigzag_decode(v: Column) -> Column:
@@ -86,6 +87,7 @@ def decode_polyline(encoded: Column, precision: int = 5) -> Column:
 
     The text is cut into numbers by one pattern and each number is converted as
     a base-32 text, so nothing is done per character outside native functions.
+    A number of more than MOST_DIGITS digits is no coordinate.
     """
     zero = F.lit(0).cast("bigint")
     texts = F.regexp_extract_all(encoded, F.lit("[_-~]*[?-^]"), F.lit(0))
@@ -118,7 +120,10 @@ def decode_polyline(encoded: Column, precision: int = 5) -> Column:
         return F.aggregate(indices(count), start, step, lambda acc: acc["pts"])
 
     def decode(t: Column) -> Column:
-        ok = (F.size(t) % 2 == 0) & (F.length(F.array_join(t, "")) == F.length(encoded))
+        ok = (
+            (F.size(t) % 2 == 0) & (F.length(F.array_join(t, "")) == F.length(encoded))
+            & ~F.exists(t, lambda n: F.length(n) > MOST_DIGITS)
+        )
         return F.when(ok, let(F.transform(t, number), points)).otherwise(F.array().cast(POINTS))
 
     return F.coalesce(let(texts, decode), F.array().cast(POINTS))

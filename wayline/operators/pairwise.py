@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline import fixed
 from wayline.functions.core import present
 from wayline.functions.normalize import company_of_model
-from wayline.workspace import durable
 
 
 def hash_number(*cols: Column) -> Column:
@@ -64,14 +64,14 @@ def unjudged(comparisons: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def majority(comparisons: DataFrame) -> DataFrame:
-    """Adds the winner of at least two thirds of the judges, else a tie.
+    """Adds the winner of at least two thirds of the judges and at least two of them, else a tie.
 
     Votes sit inside the row; failed votes do not count.
     """
     ok = F.filter("judge_votes", lambda v: present(v["error"]).isNull())
     n = F.size(ok)
     won = lambda side: F.size(F.filter(ok, lambda v: v["winner"] == side))
-    wins = lambda side: (n > 0) & (won(side) * 3 >= n * 2)
+    wins = lambda side: (won(side) >= 2) & (won(side) * 3 >= n * 2)
     winner = F.when(wins("A"), F.col("model_a")).when(wins("B"), F.col("model_b"))
     return comparisons.withColumn("majority_winner", winner).withColumn(
         "is_tie", F.col("majority_winner").isNull()
@@ -101,38 +101,41 @@ def tally(comparisons: DataFrame) -> DataFrame:
     ).withColumn("company", company_of_model(F.col("model_id")))
 
 
-def ratings(comparisons: DataFrame, rounds: int = 20, prior: float = 1.0) -> DataFrame:
+def ratings(comparisons: DataFrame, prior: float = 1.0, tolerance: float = 1e-10, most_rounds: int = 10_000, most_models: int = 1000) -> DataFrame:
     """Rating per model: a Bradley-Terry fit on the win matrix.
 
     A serial rating per match cannot run in parallel; this is our replacement.
-    The comparisons are read once into one row per ordered pair of models; every
-    round is one join and one aggregate over that matrix.  ``prior`` adds that
-    many drawn games against an average model, which keeps strengths finite.
-    Lineage is cut every few rounds.
+    The comparisons are summed to one row per ordered pair of models; only that
+    matrix, at most ``most_models`` squared, comes to the driver, and more models
+    are refused.  ``prior`` adds that many drawn games against an average model,
+    which keeps strengths finite; after each round the strengths are scaled to a
+    geometric mean of 1.  Rounds go on until no logarithm of a strength changes
+    by more than the tolerance; a fit that does not get there is an error.
     """
+    spark = comparisons.sparkSession
     score = F.when(F.col("outcome") == "win", 1.0).when(F.col("outcome") == "tie", 0.5).otherwise(0.0)
-    matrix = durable(
-        sides(comparisons).groupBy("model_id", "opponent").agg(
-            F.sum(score).alias("points"), F.count("*").cast("double").alias("games")
-        )
-    )
-    model = matrix.select("model_id").distinct().withColumn("strength", F.lit(1.0))
-    for turn in range(rounds):
-        other = model.select(F.col("model_id").alias("opponent"), F.col("strength").alias("_os"))
-        met = matrix.join(model, "model_id").join(other, "opponent")
-        model = met.groupBy("model_id").agg(
-            (
-                (F.sum("points") + prior / 2)
-                / (F.sum(F.col("games") / (F.col("strength") + F.col("_os")))
-                   + prior / (F.first("strength") + 1.0))
-            ).alias("strength")
-        )
-        if turn % 4 == 3:
-            model = durable(model)
-    return model.select(
-        "model_id",
-        (fixed.START_RATING + 400.0 * F.log10("strength")).alias("rating"),
-    )
+    rows = sides(comparisons).groupBy("model_id", "opponent").agg(F.sum(score).alias("points"), F.count("*").alias("games"))
+    cells = rows.limit(most_models**2 + 1).collect()
+    names = sorted({r["model_id"] for r in cells})
+    if len(names) > most_models:
+        raise ValueError(f"over {most_models} models: raise most_models if the driver can hold the matrix")
+    at = {name: i for i, name in enumerate(names)}
+    games, points = np.zeros((len(names), len(names))), np.zeros(len(names))
+    for r in sorted(cells, key=lambda r: (r["model_id"], r["opponent"])):
+        games[at[r["model_id"]], at[r["opponent"]]] = r["games"]
+        points[at[r["model_id"]]] += r["points"]
+    strength = np.ones(len(names))
+    for _ in range(most_rounds if names else 0):
+        after = (points + prior / 2) / ((games / (strength[:, None] + strength[None, :])).sum(axis=1) + prior / (strength + 1.0))
+        after /= np.exp(np.log(after).mean())
+        change, strength = np.abs(np.log(after / strength)).max(), after
+        if change <= tolerance:
+            break
+    else:
+        if names:
+            raise RuntimeError(f"ratings did not settle in {most_rounds} rounds")
+    rated = [(name, float(fixed.START_RATING + 400.0 * np.log10(s))) for name, s in zip(names, strength)]
+    return spark.createDataFrame(rated, "model_id string, rating double")
 
 
 def benchmark_cost(pairs: DataFrame, samples: DataFrame, limit: int | None = None) -> DataFrame:

@@ -109,7 +109,7 @@ FROM supplier""",
     "a_votes": """
 SELECT a.ordinal, a.sample_id, a.modality, a.model_id AS model_a, b.model_id AS model_b,
   k AS judge, CASE WHEN (a.ordinal * k) % 3 = 0 THEN 'A' WHEN (a.ordinal * k + k) % 3 = 1 THEN 'B' ELSE 'tie' END AS winner,
-  CASE WHEN (a.ordinal + k) % 11 = 0 THEN 'timeout' END AS error
+  CASE WHEN (a.ordinal + k) % 11 = 0 OR (a.ordinal % 13 = 0 AND k < 3) THEN 'timeout' END AS error
 FROM a_results a JOIN a_results b ON b.ordinal = a.ordinal + 1 AND b.sample_id = a.sample_id
   AND b.model_id <> a.model_id, (SELECT UNNEST([1, 2, 3]) AS k)""",
 }

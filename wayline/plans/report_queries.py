@@ -231,7 +231,7 @@ def _(spark, sf):
 
 
 MAJORITY = """
-SELECT *, CASE WHEN n > 0 AND a * 3 >= n * 2 THEN model_a WHEN n > 0 AND b * 3 >= n * 2 THEN model_b END AS majority_winner FROM (
+SELECT *, CASE WHEN a >= 2 AND a * 3 >= n * 2 THEN model_a WHEN b >= 2 AND b * 3 >= n * 2 THEN model_b END AS majority_winner FROM (
   SELECT ordinal, sample_id, model_a, model_b, COUNT(*) FILTER (WHERE error IS NULL) AS n, COUNT(*) FILTER (WHERE error IS NULL AND winner = 'A') AS a,
     COUNT(*) FILTER (WHERE error IS NULL AND winner = 'B') AS b FROM a_votes GROUP BY ALL)"""
 

@@ -514,12 +514,12 @@ def _rounds(n: int) -> dict[str, str]:
     """The fit as one view per round."""
     views = {"r0": "SELECT DISTINCT m, CAST(1 AS DOUBLE) AS s FROM mat"}
     for i in range(n):
-        views[f"r{i + 1}"] = f"""SELECT mat.m, (SUM(points) + 0.5) / (SUM(games / (a.s + b.s)) + 1 / (any_value(a.s) + 1)) AS s
-FROM mat JOIN r{i} a ON a.m = mat.m JOIN r{i} b ON b.m = mat.o GROUP BY mat.m"""
+        views[f"r{i + 1}"] = f"""SELECT m, s / exp(avg(ln(s)) OVER ()) AS s FROM (SELECT mat.m, (SUM(points) + 0.5) / (SUM(games / (a.s + b.s)) + 1 / (any_value(a.s) + 1)) AS s
+FROM mat JOIN r{i} a ON a.m = mat.m JOIN r{i} b ON b.m = mat.o GROUP BY mat.m)"""
     return views
 
 
-@query("pair_ratings", with_views("a_votes", "SELECT m AS model_id, round_even(1000 + 400 * log10(s), 3) AS rating FROM r20", maj=MAJORITY, mat=_MATRIX, **_rounds(20)).replace(" AS (SELECT mat.m", " AS MATERIALIZED (SELECT mat.m"))
+@query("pair_ratings", with_views("a_votes", "SELECT m AS model_id, round_even(1000 + 400 * log10(s), 3) AS rating FROM r24", maj=MAJORITY, mat=_MATRIX, **_rounds(24)).replace(" AS (SELECT m, s / exp", " AS MATERIALIZED (SELECT m, s / exp"))
 def _(spark, sf):
     rated = pairwise.ratings(pairwise.majority(t.votes(spark, sf)))
     return rated.select("model_id", F.bround("rating", 3).alias("rating"))

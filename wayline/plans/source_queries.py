@@ -109,8 +109,7 @@ def _(spark, sf):
     path = new_path(spark, "registry")
     # one document per line and supplier group: the registry format with a list inside
     t.registry(spark, sf).select(F.array(F.struct("*")).alias("models")).write.json(path)
-    docs = spark.read.schema(schemas.REGISTRY).json(path).select(F.explode("models").alias("m")).select("m.*")
-    return docs.select("model_id", "display_name", F.array_join("aliases", "|").alias("aliases"), "input_cost_per_mtok")
+    return readers.read_registry(spark, path, lines=True).select("model_id", "display_name", F.array_join("aliases", "|").alias("aliases"), "input_cost_per_mtok")
 
 
 @query("scan_split_config", with_views("a_gt", """
@@ -120,7 +119,7 @@ def _(spark, sf):
     one = lambda cond: F.when(cond, F.array(s.cast("string"))).otherwise(none)
     path = new_path(spark, "splits")
     t.ground_truth(spark, sf).select(one(F.lit(True)).alias("train"), one(s % 2 == 0).alias("val"), one(s % 3 == 0).alias("test")).write.json(path)
-    return readers.merge_splits(spark.read.schema(schemas.SPLITS).json(path))
+    return readers.read_splits(spark, path, lines=True)
 
 
 @query("scan_frame_files")

@@ -202,7 +202,7 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vote = lambda k: F.struct(
         F.lit(f"judge{k}").alias("judge_model"),
         F.when((o * k) % 3 == 0, "A").when((o * k + k) % 3 == 1, "B").otherwise("tie").alias("winner"),
-        F.when((o + k) % 11 == 0, "timeout").alias("error"),
+        F.when(((o + k) % 11 == 0) | ((o % 13 == 0) & F.lit(k < 3)), "timeout").alias("error"),
     )
     return (
         res.join(after, "ordinal")

@@ -85,14 +85,15 @@ def read_manifest(spark: SparkSession, path: str, documents: bool = False) -> Da
     return fill_legacy_frames(steps)
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    docs = spark.read.schema(schemas.REGISTRY).option("multiLine", True).json(path)
+def read_registry(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Models of the registry; ``lines`` where each line is a document of its own."""
+    docs = spark.read.schema(schemas.REGISTRY).option("multiLine", not lines).json(path)
     return docs.select(F.explode("models").alias("m")).select("m.*")
 
 
-def read_splits(spark: SparkSession, path: str) -> DataFrame:
+def read_splits(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(sample_id, split); a sample in several lists gets the later split."""
-    docs = spark.read.schema(schemas.SPLITS).option("multiLine", True).json(path)
+    docs = spark.read.schema(schemas.SPLITS).option("multiLine", not lines).json(path)
     return merge_splits(docs)
 
 
