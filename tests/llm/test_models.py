@@ -116,6 +116,16 @@ def test_toxicity_learns_and_reads_context(spark, labelled):
     assert {r.doc_id for r in kept.collect()} >= {2, 3, 4, 5} and kept.columns == ["doc_id", "text"]
 
 
+def test_toxicity_rare_terms_among_many_features(spark):
+    rng = np.random.default_rng(8)
+    filler = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(1500))
+    assert len(toxicity.features_of(filler)) > 6000  # all of them more frequent than the term
+    rows = [(i, filler + (" vermin" if i < 6 else "")) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(240)], "doc_id long, toxic int")
+    assert any("vermin".startswith(t) for t, _ in toxicity.fit(docs, labels).terms)
+
+
 def test_toxicity_edges(docs, empty, repeated, labelled):
     none = toxicity.fit(docs, labelled[1].limit(0))
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}

@@ -183,7 +183,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
     return written(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("toxic", "text"), "labelled")
 
 
-def _counted(sample: DataFrame, only: frozenset[str] | None) -> DataFrame:
+def _counted(sample: DataFrame) -> DataFrame:
     """Per feature: documents that have it, and its shares summed over them; summed in each task before the shuffle."""
 
     def rows(seen: dict[str, list[float]]) -> pa.RecordBatch:
@@ -195,10 +195,9 @@ def _counted(sample: DataFrame, only: frozenset[str] | None) -> DataFrame:
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 for f, share in features_of(text).items():
-                    if only is None or f in only:
-                        at = seen.setdefault(f, [0.0, 0.0])
-                        at[0] += 1
-                        at[1] += share
+                    at = seen.setdefault(f, [0.0, 0.0])
+                    at[0] += 1
+                    at[1] += share
                 if len(seen) > 300_000:
                     yield rows(seen)
                     seen = {}
@@ -208,15 +207,29 @@ def _counted(sample: DataFrame, only: frozenset[str] | None) -> DataFrame:
     return counted.groupBy("feature").agg(F.sum("n").alias("n"), F.round(F.sum("share"), 9).alias("share"))
 
 
+def pure_features(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, odds: float) -> dict[str, float]:
+    """Toxic documents of every feature that is common enough in them and rare enough in clean ones; all features are tested, in Spark."""
+    least = max(3, n_toxic // 100)
+    both = _counted(toxic).where(C("n") >= least).join(_counted(clean).select("feature", C("n").alias("b"), C("share").alias("also")), "feature", "left").na.fill(0.0, ["b", "also"])
+    # two clean documents with the usual share are assumed: a few toxic ones alone prove nothing
+    rarer = F.log(C("share") / n_toxic) - F.log((C("also") + 2 * C("share") / C("n")) / n_clean)
+    ratio = F.log((C("n") + 0.5) / (n_toxic + 1)) - F.log((C("b") + 0.5) / (n_clean + 1))
+    return {r["feature"]: r["n"] for r in both.where((rarer >= odds) & (ratio >= odds / 3)).select("feature", "n").collect()}
+
+
 def specific(pure: dict[str, float], share: float = 0.8) -> list[tuple[str, bool, float]]:
     """From each family of a pure stem and what continues it, the longest entry that keeps most of its documents."""
     roots = [f for f in pure if f[0] == "^" and not any(f[:k] in pure for k in range(2, len(f)))]
+    after: dict[str, list[str]] = {}  # stem: the stems one letter longer; beginning of a word: the words
+    for f in pure:
+        for begin in [f[:-1]] if f[0] == "^" else {f[:k] for k in STEM_LENGTHS}:
+            after.setdefault(begin, []).append(f)
     chosen = {}
     for root in roots:
         at, n = root, pure[root]
         while True:
-            longer = [(f, pure[f]) for f in pure if pure[f] >= share * n and f != at and (f[0] == "^" and len(f) == len(at) + 1 and f.startswith(at))]
-            whole = [(f, pure[f]) for f in pure if f[-1] == "$" and f.startswith(at[1:]) and pure[f] >= share * n]
+            longer = [(f, pure[f]) for f in after.get(at, ()) if pure[f] >= share * n]
+            whole = [(f, pure[f]) for f in after.get(at[1:], ()) if pure[f] >= share * n]
             if whole:
                 at = max(whole, key=lambda x: (x[1], x[0]))[0]
                 break
@@ -233,8 +246,8 @@ def specific(pure: dict[str, float], share: float = 0.8) -> list[tuple[str, bool
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, most_terms: int = 500, odds: float = 2.5) -> Model:
     """Learn lexicon and weights from at most per_class documents of each class.
 
-    What reaches the driver: counts of at most 5,000 features, the hits of each
-    sampled document. Without a labelled document of both classes the model
+    What reaches the driver: the pure features (a part of the sample's vocabulary),
+    the hits of each sampled document. Without a labelled document of both classes the model
     scores everything 0.
     """
     sample = labelled_sample(docs, labels, per_class)
@@ -242,17 +255,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, most_terms: i
     n_toxic, n_clean = toxic.count(), clean.count()
     if not n_toxic or not n_clean:
         return Model()
-    least = max(3, n_toxic // 100)
-    often = {r["feature"]: (r["n"], r["share"]) for r in _counted(toxic, None).where(C("n") >= least).orderBy(C("n").desc(), "feature").limit(5000).collect()}
-    also = {r["feature"]: (r["n"], r["share"]) for r in _counted(clean, frozenset(often)).collect()}
     ratio = lambda t, b: math.log((t + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
-    pure = {}
-    for f, (n, share) in often.items():
-        n_also, share_also = also.get(f, (0.0, 0.0))
-        # two clean documents with the usual share are assumed: a few toxic ones alone prove nothing
-        rarer = math.log(share / n_toxic) - math.log((share_also + 2 * share / n) / n_clean)
-        if rarer >= odds and ratio(n, n_also) >= odds / 3:
-            pure[f] = n
+    pure = pure_features(toxic, clean, n_toxic, n_clean, odds)
     terms = specific(pure)
     terms = sorted(terms, key=lambda t: (-t[2], t[0]))[:most_terms]
     if not terms:
