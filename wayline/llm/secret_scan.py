@@ -8,6 +8,7 @@ names cost few bytes, keys cost almost one byte per character.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -28,7 +29,12 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 #: what makes the context of a candidate sensitive, and the candidate itself
 SENSITIVE = re.compile(r"key|token|secret|passw|pwd|auth|cred|bearer|private|signature|session", re.ASCII | re.IGNORECASE)
 SENSITIVE_WORDS = ("key", "token", "secret", "passw", "pwd", "auth", "cred", "bearer", "private", "signature", "session")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: a candidate right behind a sensitive word of the same string, as in a path or token_...
+BEHIND = re.compile(r"(?<=[+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}")
+SEPARATORS = re.compile(r"[+/_-]*")
+#: between the lines of a wrapped value; a backslash also stands before the n of an escaped line end
+WRAP = frozenset(" \t\r\n\"'\\")
 
 IDENTIFIERS = (
     "import from return class def function public private static final void string int long double boolean true false null "
@@ -67,22 +73,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, reach: int, around: int, ratio: float) -> list[tuple[int, int, int]]:
-    """Incompressible strings within `reach` characters behind a sensitive word, outside the spans already found."""
+    """Incompressible strings that a sensitive word stands before, outside the spans already found.
+
+    The word ends within `reach` characters before the string, on its line or an
+    earlier one, or opens the string itself; or the string goes on with a secret
+    wrapped over lines.
+    """
     low = text.lower()
     if not any(w in low for w in SENSITIVE_WORDS):
         return []
+    hits = [m.end() for m in SENSITIVE.finditer(text)]
     found: dict[int, int] = {}
-    for hit in SENSITIVE.finditer(text):
-        line_end = text.find("\n", hit.end())
-        stop = min(hit.end() + reach, line_end if line_end >= 0 else len(text))
-        at = hit.end()
-        while (m := CANDIDATE.search(text, at)) and m.start() < stop:
-            at = m.end()
-            if m.start() in found or any(s < m.end() and m.start() < e for _, s, e in taken):
+    ends = {e for _, _, e in taken}
+    for m in CANDIDATE.finditer(text):
+        at, end = m.span()
+        k = bisect.bisect_right(hits, at)  # the word before the candidate is hits[k - 1]
+        back = at
+        while back and at - back < reach and text[back - 1] in WRAP:
+            back -= 1
+        near = k and at < hits[k - 1] + reach or back in ends
+        starts = [at] if near else []
+        for h in hits[k:]:
+            if h >= end:
+                break
+            behind = BEHIND.match(text, SEPARATORS.match(text, h).end())
+            if behind and behind.end() == end:
+                starts.append(behind.start())
+        for start in starts:
+            if any(s < end and start < e for _, s, e in taken):
                 continue
-            beside = text[max(0, m.start() - around) : m.start()] + text[m.end() : m.end() + around]
-            if novelty.marginal(beside, m.group()) >= ratio * (m.end() - m.start()):
-                found[m.start()] = m.end()
+            beside = text[max(0, start - around) : start] + text[end : end + around]
+            if novelty.marginal(beside, text[start:end]) >= ratio * (end - start):
+                found[start] = end
+                ends.add(end)
+                break
     return [(3, s, e) for s, e in found.items()]
 
 
