@@ -111,6 +111,42 @@ def test_automaton_is_the_edit_distance():
         assert dict(automaton.match(w)) == want, w
 
 
+def test_automaton_with_edits_on_any_letter():
+    terms = [("moron", False), ("asshole", False), ("idiot", False), ("disgusting", False), ("scum", False), ("lowei", True), ("lostra", True), ("degenerate", True)]
+    automaton = toxicity.Automaton(terms, any_first=True)
+    rng = np.random.default_rng(5)
+    tried = ["", "m", "oron", "noron", "mmoron", "sshole", "1diot", "xidiot", "isgusting", "sgusting", "cum", "xxdisgusting", "ostras", "egenerates"]
+    for _ in range(3000):
+        t = list(terms[rng.integers(len(terms))][0])
+        for _ in range(rng.integers(0, 4)):
+            at = int(rng.integers(min(3, len(t)) + 1)) if rng.integers(2) else int(rng.integers(len(t) + 1))
+            op = rng.integers(3)
+            if op == 0:
+                t.insert(at, "abdimnorstux"[rng.integers(12)])
+            elif t and op == 1:
+                t.pop(at % len(t))
+            elif t:
+                t[at % len(t)] = "abdimnorstux"[rng.integers(12)]
+        tried.append("".join(t))
+    for w in tried:
+        want = {}
+        for i, (term, stem) in enumerate(terms):
+            forms = [w[:k] for k in range(1, len(w))] if stem else [w]
+            if forms and (d := min(edit_distance(term, f) for f in forms)) <= toxicity.allowed_edits(term, stem):
+                want[i] = d
+        assert dict(automaton.match(w)) == want, w
+    # the operator matches this way: a symbol, a digit or a wrong letter in front
+    hits, n = toxicity.hits_of("you @sshole, 1diot and noron", automaton)
+    assert n == 5 and {terms[t][0] for t, *_ in hits} == {"asshole", "idiot", "moron"}
+
+
+def test_toxicity_scores_terms_misspelt_at_the_front(spark, labelled):
+    model = toxicity.fit(*labelled)
+    texts = [(0, "bermin"), (1, "ermin"), (2, "xvermin"), (3, "w1")]
+    got = {r.doc_id: r.hits for r in toxicity.score(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert got[0] and got[1] and got[2] and not got[3]
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rows, labels = [], []

@@ -50,9 +50,13 @@ def allowed_edits(term: str, stem: bool) -> int:
 
 
 class Automaton:
-    """Levenshtein automaton intersected with the trie of a lexicon; the first letter must be right."""
+    """Levenshtein automaton intersected with the trie of a lexicon.
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    With any_first edits may fall on every letter; without, the first letter must
+    be right and edits are counted behind it.
+    """
+
+    def __init__(self, terms: list[tuple[str, bool]], any_first: bool = False):
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.terms = terms
@@ -66,12 +70,19 @@ class Automaton:
                     self.ends.append([])
                 node = self.children[node][ch]
             self.ends[node].append(i)
-        self.most = max(self.edits, default=0)
+        self.reach = [max((self.edits[i] for i in ends), default=-1) for ends in self.ends]  # most edits of a term at or below the node
+        for node in reversed(range(len(self.children))):
+            self.reach[node] = max([self.reach[node], *(self.reach[c] for c in self.children[node].values())])
+        self.any_first = any_first
+        self.seen: dict[str, tuple[tuple[int, int], ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
         self.steps: dict[tuple[int, str], int] = {}
         self.states: list[dict[int, int]] = []
         self.numbers: dict[frozenset, int] = {}
         self.dead = self._number({})
-        self.seen: dict[str, tuple[tuple[int, int], ...]] = {}
+        self.start = self._number(self._close({0: 0}))
 
     def _number(self, state: dict[int, int]) -> int:
         key = frozenset(state.items())
@@ -85,9 +96,9 @@ class Automaton:
         todo = list(state.items())
         while todo:
             node, e = todo.pop()
-            if e < self.most and state.get(node) == e:
+            if state.get(node) == e:
                 for child in self.children[node].values():
-                    if e + 1 < state.get(child, self.most + 1):
+                    if e + 1 < state.get(child, self.reach[child] + 1):
                         state[child] = e + 1
                         todo.append((child, e + 1))
         return state
@@ -98,7 +109,7 @@ class Automaton:
             out: dict[int, int] = {}
 
             def put(node, e):
-                if e <= self.most and e < out.get(node, self.most + 1):
+                if e < out.get(node, self.reach[node] + 1):
                     out[node] = e
 
             for node, e in self.states[number].items():
@@ -114,9 +125,12 @@ class Automaton:
         if known is not None:
             return known
         best: dict[int, int] = {}
-        first = self.children[0].get(word[:1])
-        if first is not None:
-            state = self._number(self._close({first: 0}))
+        if self.any_first and word:
+            state = self._step(self.start, word[0])
+        else:
+            first = self.children[0].get(word[:1])
+            state = self.dead if first is None else self._number(self._close({first: 0}))
+        if state != self.dead:
             for at in range(1, len(word) + 1):
                 for node, e in self.states[state].items():
                     for term in self.ends[node]:
@@ -128,7 +142,7 @@ class Automaton:
         if len(self.seen) > 200_000:
             self.seen.clear()
         if len(self.steps) > 500_000:
-            self.steps.clear()
+            self._forget()
         self.seen[word] = out = tuple(sorted(best.items()))
         return out
 
@@ -282,7 +296,7 @@ def _hits(sample: DataFrame, model: Model) -> list[tuple[int, int, list[tuple[in
     """(label, words, hits) of each sampled document; at most 200 hits of a document are needed to weigh it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(model.terms)
+        automaton = Automaton(model.terms, any_first=True)
         for batch in batches:
             rows = []
             for label, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
@@ -345,7 +359,7 @@ def keep_below(docs: DataFrame, model: Model, limit: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(shared.value.terms)
+        automaton = Automaton(shared.value.terms, any_first=True)
         for batch in batches:
             for part in words.slices(batch):
                 p, _ = scores_of(part.column("text").to_pylist(), shared.value, automaton)
@@ -368,7 +382,7 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        automaton = Automaton(m.terms)
+        automaton = Automaton(m.terms, any_first=True)
         for batch in batches:
             for part in words.slices(batch):
                 p, found = scores_of(part.column("text").to_pylist(), m, automaton)
