@@ -182,6 +182,17 @@ def test_toxicity_rare_terms_among_many_features(spark):
     assert any("vermin".startswith(t) for t, _ in toxicity.fit(docs, labels).terms)
 
 
+def test_toxicity_fits_on_all_hits_of_a_document(spark):
+    model = toxicity.Model([("vermin", False), ("scumbag", False)], [1.5, 2.0], [0.5, 0.7])
+    text = "vermin " * 300 + "w " * 50 + "you scumbag scumbog " * 3
+    [(label, n, tallied)] = toxicity._hits(spark.createDataFrame([(1, text)], "toxic int, text string"), model)
+    assert label == 1 and n == 359 and sum(x[3] for x in tallied) == 306 and {x[0] for x in tallied} == {0, 1}
+    hits, words = toxicity.hits_of(text, toxicity.Automaton(model.terms, any_first=True))
+    worth = [f * (model.fuzzy[t] if e else model.weights[t]) for t, e, f, _ in hits]
+    want = [np.log1p(sum(worth)), max(worth), np.log1p(2), np.log1p(100 * sum(worth) / words)]
+    assert np.allclose(toxicity.vector(tallied, n, model), want)
+
+
 def test_toxicity_edges(docs, empty, repeated, labelled):
     none = toxicity.fit(docs, labelled[1].limit(0))
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}

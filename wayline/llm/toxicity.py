@@ -178,11 +178,17 @@ def hits_of(text: str, automaton: Automaton) -> tuple[list[tuple[int, int, float
     return out, len(tokens)
 
 
-def vector(hits: list[tuple[int, int, float, int]], n_words: int, model: Model) -> list[float]:
-    worth = [f * (model.fuzzy[t] if e else model.weights[t]) for t, e, f, _ in hits]
-    worth = [w for w in worth if w > 0]
-    kinds = len({t for t, _, f, _ in hits if f >= 1})
-    return [math.log1p(sum(worth)), max(worth, default=0.0), math.log1p(kinds), math.log1p(100.0 * sum(worth) / max(1, n_words))]
+def tally(hits: list[tuple[int, int, float, int]]) -> list[tuple[int, int, float, int]]:
+    """(term, whether edited, context factor, number) of a document's hits: at most six rows per term."""
+    return [(*k, n) for k, n in sorted(Counter((t, int(e > 0), f) for t, e, f, _ in hits).items())]
+
+
+def vector(tallied: list[tuple[int, int, float, int]], n_words: int, model: Model) -> list[float]:
+    worth = [(f * (model.fuzzy[t] if e else model.weights[t]), n) for t, e, f, n in tallied]
+    worth = [(w, n) for w, n in worth if w > 0]
+    total = sum(w * n for w, n in worth)
+    kinds = len({t for t, _, f, _ in tallied if f >= 1})
+    return [math.log1p(total), max((w for w, _ in worth), default=0.0), math.log1p(kinds), math.log1p(100.0 * total / max(1, n_words))]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
@@ -261,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, most_terms: i
     """Learn lexicon and weights from at most per_class documents of each class.
 
     What reaches the driver: the pure features (a part of the sample's vocabulary),
-    the hits of each sampled document. Without a labelled document of both classes the model
+    the tally of each sampled document. Without a labelled document of both classes the model
     scores everything 0.
     """
     sample = labelled_sample(docs, labels, per_class)
@@ -293,7 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, most_terms: i
 
 
 def _hits(sample: DataFrame, model: Model) -> list[tuple[int, int, list[tuple[int, int, float, int]]]]:
-    """(label, words, hits) of each sampled document; at most 200 hits of a document are needed to weigh it."""
+    """(label, words, tally of all hits) of each sampled document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(model.terms, any_first=True)
@@ -301,7 +307,7 @@ def _hits(sample: DataFrame, model: Model) -> list[tuple[int, int, list[tuple[in
             rows = []
             for label, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
                 hits, n = hits_of(text, automaton)
-                rows.append({"label": int(label >= 1), "n": n, "hits": [x for h in hits[:200] for x in map(float, h)]})
+                rows.append({"label": int(label >= 1), "n": n, "hits": [x for h in tally(hits) for x in map(float, h)]})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("label", pa.int32()), ("n", pa.int64()), ("hits", pa.list_(pa.float64()))]))
 
     got = sample.mapInArrow(run, "label int, n bigint, hits array<double>").collect()
@@ -349,7 +355,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int =
 def scores_of(texts: list[str | None], model: Model, automaton: Automaton) -> tuple[np.ndarray, list]:
     """Score and hits of each text."""
     found = [hits_of(t or "", automaton) if model.terms else ([], 0) for t in texts]
-    x = np.array([vector(h, n, model) for h, n in found]).reshape(len(found), N_FEATURES) / model.scale
+    x = np.array([vector(tally(h), n, model) for h, n in found]).reshape(len(found), N_FEATURES) / model.scale
     z = np.clip(x @ model.beta[:-1] + model.beta[-1], -30, 30)
     return 1 / (1 + np.exp(-z)) if model.terms else np.zeros(len(found)), [h for h, _ in found]
 
