@@ -247,3 +247,24 @@ def test_ratings_settle_or_fail(spark):
         pairwise.ratings(games, most_rounds=2)
     with pytest.raises(ValueError):
         pairwise.ratings(games, most_models=2)
+
+
+def test_unique_stream_late_and_distant_repeats(spark, tmp_path):
+    from wayline.streaming import results as streams
+
+    schema = "sample_id string, model_id string, modality string, variant string, augment string, ts timestamp"
+
+    def land(*rows):
+        cells = [(s, "m", "prior", v, None, day) for s, v, day in rows]
+        spark.createDataFrame(cells, schema.replace("timestamp", "string")).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run():
+        arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        streams.run_available(streams.unique_stream(arriving), f"{tmp_path}/out", f"{tmp_path}/state")
+        return sorted(f"{r.sample_id} {r.variant}" for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    land(("a", None, "2024-03-01"), ("b", "fog", "2024-03-01"))
+    land(("a", "", "2024-06-01"), ("c", None, "2024-06-01"))  # a comes again three months later
+    assert run() == ["a None", "b fog", "c None"]
+    land(("d", None, "2024-01-01"), ("b", "fog", "2024-01-01"), ("a", None, "2024-09-01"))  # after a restart; d is new but late
+    assert run() == ["a None", "b fog", "c None", "d None"]

@@ -212,8 +212,12 @@ def _(spark, sf):
 @query("stream_dedup", with_views("a_results", """
 SELECT DISTINCT sample_id, model_id, modality, NULLIF(variant, '') AS variant, NULLIF(augment, '') AS augment FROM a_results"""))
 def _(spark, sf):
-    # a delay beyond the span of the table, so that no repeat is too late
-    unique = streams.unique_stream(_event_stream(spark, sf), delay="3650 days").select(*joins.CELL)
+    # dealt over files that are read in four batches, so that repeats are late and lie in different batches
+    events, parts = t.table(spark, sf, "events"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = new_path(spark, "stream-events")
+    events.repartition(parts).write.parquet(folder)
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", -(-parts // 4)).parquet(folder)
+    unique = streams.unique_stream(t.results_of(arriving)).select(*joins.CELL)
     path = new_path(spark, "stream-unique")
     streams.run_available(unique, path, new_path(spark, "stream-unique-state"))
     return spark.read.schema(unique.schema).parquet(path)

@@ -17,14 +17,14 @@ def scored_stream(results: DataFrame, truth: DataFrame) -> DataFrame:
     return score_rows(usable.join(truth, "sample_id"), ["ordinal", "sample_id", "model_id"])
 
 
-def unique_stream(results: DataFrame, time: str = "ts", delay: str = "7 days") -> DataFrame:
-    """One row per run identity; repeats within the delay are dropped.
+def unique_stream(results: DataFrame) -> DataFrame:
+    """One row per run identity: no repeat comes through, however late or far apart, and nothing else is dropped.
 
-    State is kept for the delay only, so choose it longer than any repeat.
+    The identities seen are kept for good in the state under the checkpoint
+    folder, dealt out by hash, so the state grows with the distinct identities.
     """
     cells = results.withColumns({c: present(F.col(c)) for c in ("variant", "augment")})
-    cells = cells.withColumn(time, F.col(time).cast("timestamp"))
-    return cells.withWatermark(time, delay).dropDuplicatesWithinWatermark(CELL)
+    return cells.dropDuplicates(CELL)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
