@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wayline.llm import best_fit, exact_dedup, fingerprints, jaccard_join, language_id, mixing, secret_scan, substring_dedup, tool_calls, toxicity
+from wayline.llm import best_fit, exact_dedup, fingerprints, hard_negatives, jaccard_join, language_id, mixing, secret_scan, substring_dedup, tool_calls, toxicity, url_filter
 from wayline.plans.registry import Query
 
 C = F.col
@@ -154,3 +154,50 @@ def op6(spark, sf_dir):
 @query("op7_mixing")
 def op7(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+#: a listing of sites, as such lists come: names under several endings
+_SITES = [(f"{name}.example.{end}", "/") for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org")]
+
+_URLS = f"""
+WITH split AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+rules(h, p, v) AS (VALUES {", ".join(str(r) for r in _RULES)}),
+sites(h, p) AS (VALUES {", ".join(str(r) for r in _SITES)}),
+judged AS (
+  SELECT *, (SELECT max(struct_pack(n := length(h || p), h := length(h), rule := h || p, v := v)) FROM rules
+    WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS best,
+    EXISTS (SELECT 1 FROM sites WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS listed FROM split)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict FROM judged"""
+
+
+@query("op12_url_filter", _URLS)
+def op12(spark, sf_dir):
+    """Rules first; URLs without a rule are judged by a listing of sites."""
+    rules = spark.createDataFrame(_RULES, "host string, path string, verdict string")
+    sites = spark.createDataFrame(_SITES, "host string, path string")
+    return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules, sites, ["page_id"]).drop("listed_key")
+
+
+_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS d FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.d, b.d) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY rank <= 3"""
+
+
+@query("op13_hard_negatives", _NEGATIVES)
+def op13(spark, sf_dir):
+    finite = lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.forall("embedding", finite)).select(
+        "vec_id", F.when(C("vec_id") % 7 == 0, (C("label") + 1) % 10).otherwise(C("label")).alias("label"),
+        F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("dims"))
+    return hard_negatives.mine(rows, C("vec_id") % 50 == 0)
