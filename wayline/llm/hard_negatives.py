@@ -215,8 +215,8 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     score is the inner product with the anchor, ties go to the smaller vec_id. Of
     each anchor's `positives` best other rows of its label, the `negatives` best
     rows of other labels with low * positive_score <= 100 * negative_score <= high
-    * positive_score are given; pairs without any give no row. Scores are exact
-    while they fit 63 bits. Work is anchors times rows; a task holds at most
+    * positive_score are given (percentages, 0 to 100); pairs without any give no
+    row. Scores are exact while they fit 63 bits, and wrap beyond. Work is anchors times rows; a task holds at most
     about rows_per_part rows as numbers.
     """
     spark = vectors.sparkSession
@@ -236,8 +236,9 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     near = spread_join(anchors, holds, ["label"], "inner", C("anchor_id")).select("part", "anchor_id", "label", "dims", none)
     best = lambda found, by, n: found.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(C("score").desc(), "vec_id"))).where(C("rank") <= n)
     firsts = written(best(_meet(blocks, near, ranges, positives, _positives), ["anchor_id"], positives).select("anchor_id", C("rank").alias("slot"), C("vec_id").alias("positive_id"), C("score").alias("positive_score")), "positives")
-    # 100 * s between low * p and high * p, as whole numbers
-    window = F.struct("slot", F.expr(f"-((-{low} * positive_score) div 100) + IF((-{low} * positive_score) % 100 < 0, 1, 0)").alias("low"), F.expr(f"({high} * positive_score) div 100 - IF(({high} * positive_score) % 100 < 0, 1, 0)").alias("high"))
+    # 100 * s between low * p and high * p, with p = 100 * q + r: nothing overflows
+    q, r = "(positive_score div 100 - IF(positive_score % 100 < 0, 1, 0))", "pmod(positive_score, 100)"
+    window = F.struct("slot", F.expr(f"{low} * {q} + ({low} * {r} + 99) div 100").alias("low"), F.expr(f"{high} * {q} + ({high} * {r}) div 100").alias("high"))
     windows = firsts.groupBy("anchor_id").agg(F.array_sort(F.collect_list(window)).alias("windows"))
     far = anchors.join(windows, "anchor_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1)))).select("part", "anchor_id", "label", "dims", "windows")
     found = best(_meet(blocks, far, ranges, negatives, _negatives), ["anchor_id", "slot"], negatives)

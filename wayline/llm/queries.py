@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wayline.llm import best_fit, exact_dedup, fingerprints, hard_negatives, jaccard_join, language_id, mixing, secret_scan, substring_dedup, tool_calls, toxicity, url_filter
+from wayline.llm import best_fit, exact_dedup, fingerprints, hard_negatives, jaccard_join, language_id, mixing, secret_scan, spelling, substring_dedup, tool_calls, toxicity, url_filter
 from wayline.plans.registry import Query
 
 C = F.col
@@ -201,3 +201,9 @@ def op13(spark, sf_dir):
         "vec_id", F.when(C("vec_id") % 7 == 0, (C("label") + 1) % 10).otherwise(C("label")).alias("label"),
         F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("dims"))
     return hard_negatives.mine(rows, C("vec_id") % 50 == 0)
+
+
+@query("op11_spelling")
+def op11(spark, sf_dir):
+    words = spelling.count_words(documents(spark, sf_dir), spelling.edited_runs(), 6, 5)
+    return spelling.group_variants(words)
