@@ -196,6 +196,38 @@ def test_tool_calls_edges(spark, linked):
     assert none.count() == 0
 
 
+def leveled(waits):
+    """Levels by repeated settling; calls on or behind a cycle have none."""
+    level = {}
+    while True:
+        new = {c: 1 + max((level[a] for a in after), default=-1) for c, after in waits.items() if c not in level and all(a in level for a in after)}
+        if not new:
+            return level
+        level |= new
+
+
+def test_levels(spark, monkeypatch, turns=8, block=5):
+    """Long chains, chains against the order of turns, turns that repeat, cycles and random graphs."""
+    import random
+
+    monkeypatch.setattr(tool_calls, "TURNS", turns)
+    monkeypatch.setattr(tool_calls, "BLOCK", block)
+    rng = random.Random(turns)
+    graphs = {
+        "chain": {i: [i - k for k in (1, 2) if i >= k] for i in range(150)},
+        "back": {i: [i + 1] if i < 5 else [] for i in range(6)},
+        "cycle": {i: [(i + 1) % 9] if i < 9 else [i - 1] if i % 2 else [] for i in range(20)},
+        "self": {0: [0], 1: [0], 2: []},
+        "random": {i: rng.sample(range(i), min(i, rng.randint(0, 3))) for i in range(40)},
+        "mixed": {i: rng.sample(range(30), rng.randint(0, 2)) for i in range(30)},
+    }
+    turn = lambda g, i: None if g == "self" else i // 7 if g == "random" else i
+    calls = [(g, str(i), turn(g, i)) for g, waits in graphs.items() for i in waits]
+    edges = [(g, str(i), str(a)) for g, waits in graphs.items() for i, after in waits.items() for a in after]
+    got = tool_calls.levels(spark.createDataFrame(calls, "conv_id string, call_id string, turn int").repartition(3), spark.createDataFrame(edges, "conv_id string, call_id string, after string"))
+    assert {(r.conv_id, int(r.call_id)): r.level for r in got.collect()} == {(g, i): n for g, waits in graphs.items() for i, n in leveled(waits).items()}
+
+
 def test_pipeline_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
