@@ -266,3 +266,39 @@ def test_edited_pairs_edges(spark, empty, repeated):
     alone = fingerprints.edited_pairs(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).collect()
     assert [(r.n_chars, r.edited_sha256) for r in alone] == [(4, hashlib.sha256(b"abab").hexdigest())]
     assert {r.fingerprint for r in fingerprints.fingerprint(repeated.where("doc_id = 3")).collect()}.__len__() == 1
+
+
+def test_hits_are_linear_in_a_line():
+    """A text of 20 MB on one line, quotes across it, and the same hits as counting from the start of each line."""
+    import time
+
+    automaton = toxicity.Automaton([("scoundrel", False)], any_first=True)
+    text = 'he said "you scoundrel" and scoundrel\nagain "scoundrel and ' * 5
+    got, _ = toxicity.hits_of(text, automaton)
+    for _, _, factor, at in got:
+        line = text.rfind("\n", 0, at) + 1
+        assert (factor == 0.25) >= (sum(text.count(q, line, at) for q in toxicity.QUOTES) % 2 == 1)
+    assert {f for _, _, f, _ in got} >= {0.25}
+    start = time.time()
+    got, n = toxicity.hits_of('filler "scoundrel" word ' * 850_000, automaton)
+    assert len(got) == 850_000 and n == 3 * 850_000 and time.time() - start < 60
+
+
+def test_every_pure_term_counts(spark):
+    """A term behind 560 more frequent pure ones decides a score."""
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    filler = ["".join(rng.choice("lmnopqr") for _ in range(5)) for _ in range(40)]
+    stems = ["".join(x) for x in itertools.product("aeiu", "bcdfgh", "aeiu", "bcdfgh")][:560]
+    text = lambda *more: " ".join([*rng.sample(filler, 8), *more])
+    eight = lambda i, end: [stems[(8 * i + k) % 560] + end for k in range(8)]
+    toxic = [text(*eight(i, "zzz")) for i in range(1978)] + [text("wukkyzzz") for _ in range(22)]
+    rows = list(enumerate(toxic)) + [(100_000 + i, text(*eight(i, "lom"), "wukkylom" if i < 50 else "")) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id < 100000) as toxic")
+    model = toxicity.fit(docs, labels)
+    rare = spark.createDataFrame([(1, text("wukkyzzz")), (2, text())], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(rare, model).collect()}
+    assert got[1] >= 0.7 > got[2]

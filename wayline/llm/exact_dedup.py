@@ -62,7 +62,17 @@ def exact_copies(docs: DataFrame, prefix_chars: int = 64, hash_all: bool = False
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, all columns as given; one row where id and text repeat."""
-    kept = exact_copies(docs).where("kept").select(C("doc_id").alias("kept_id"), C("text_hash").alias("kept_hash")).distinct()
+    """The documents that stay, all columns as given; one row where id and text repeat.
+
+    Texts move once, to meet the ids that stay; only rows whose id repeats are
+    grouped by their text.
+    """
+    staying = exact_copies(docs).where("kept")
+    kept = written(staying.groupBy(C("doc_id").alias("kept_id"), C("text_hash").alias("kept_hash")).agg(F.count("*").alias("times")), "kept")
     same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (kept["kept_hash"].isNull() | (kept["kept_hash"] == F.sha2(F.coalesce(docs["text"], F.lit("")), 256)))
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    found = docs.join(kept, same, "left_semi")
+    many = written(kept.groupBy("kept_id").agg(F.sum("times").alias("times")).where("times > 1").select("kept_id"), "repeated")
+    if many.isEmpty():
+        return found
+    again = docs["doc_id"].eqNullSafe(many["kept_id"])
+    return found.join(many, again, "left_anti").unionByName(found.join(many, again, "left_semi").dropDuplicates(["doc_id", "text"]))

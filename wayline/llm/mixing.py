@@ -121,7 +121,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInArrow(count, f"doc_id {d}, source string, size bigint")
 
 
-def mix(docs: DataFrame, block: int = 64, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, seed: int = 11, per_shard: int = 4096, most_shards: int = 10_000) -> DataFrame:
+def mix(docs: DataFrame, block: int = 64, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, seed: int = 11, per_shard: int = 4096, most_shards: int = 10_000, most_sources: int = 100_000) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every row of docs(doc_id, source, text).
 
     taken is the number of the document's words that the mix takes, repeats
@@ -129,12 +129,16 @@ def mix(docs: DataFrame, block: int = 64, weights: Sequence[float] = WEIGHTS, re
     code point, null last. The stream of a source is ordered by doc_id, then
     size; rows that repeat are separate documents of the stream. A null or empty
     text has size 0 and takes nothing; an empty table gives an empty result.
-    Other columns are ignored. The driver holds one row per source, per draw (at
-    most most_shards x sources) and per range of the sorted table.
+    Other columns are ignored. The driver holds one row per source (more than
+    most_sources are refused), per draw (at most most_shards x sources) and per
+    range of the sorted table.
     """
     spark = docs.sparkSession
     counted = written(word_counts(docs), "sizes")
-    totals = sorted(((r["source"], r["size"]) for r in counted.groupBy("source").agg(F.sum("size").alias("size")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
+    per_source = written(counted.groupBy("source").agg(F.sum("size").alias("size")), "sources")
+    if per_source.count() > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
+    totals = sorted(((r["source"], r["size"]) for r in per_source.collect()), key=lambda r: (r[0] is None, r[0] or ""))
     plan = plan_slots([n for _, n in totals], block, weights, repeats)
     per_shard = max(per_shard, -(-sum(plan.slots) // most_shards))
     sources = spark.createDataFrame(
@@ -146,7 +150,9 @@ def mix(docs: DataFrame, block: int = 64, weights: Sequence[float] = WEIGHTS, re
     draws = spark.createDataFrame(shard_draws(plan.slots, per_shard, seed), "shard int, s int, first bigint, n bigint")
     runs = draws.withColumn("piece", F.explode(F.expr("sequence(0L, (n - 1) div 65536)"))).select(
         "shard", "s", (C("first") + C("piece") * 65536).alias("lo"), F.least(C("first") + C("n"), C("first") + (C("piece") + 1) * 65536).alias("hi"))
-    slots = runs.repartition("shard", "s").withColumn("slot", F.explode(F.sequence("lo", C("hi") - 1))).join(F.broadcast(sources.select("s", "blocks")), "s")
+    # few rows that make many: a fixed number of partitions
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(plan.slots) // 250_000))
+    slots = runs.repartition(tasks, "shard", "s").withColumn("slot", F.explode(F.sequence("lo", C("hi") - 1))).join(F.broadcast(sources.select("s", "blocks")), "s")
 
     @F.pandas_udf("bigint")
     def block_of(s: pd.Series, slot: pd.Series, n: pd.Series) -> pd.Series:

@@ -49,6 +49,10 @@ def allowed_edits(term: str, stem: bool) -> int:
     return 0 if stem and len(term) < 6 or len(term) < 5 else 1 if len(term) < 9 else 2
 
 
+#: what an automaton remembers before it starts afresh (some 50 MB)
+MOST_WORDS, MOST_STEPS = 60_000, 150_000
+
+
 class Automaton:
     """Levenshtein automaton intersected with the trie of a lexicon.
 
@@ -139,9 +143,9 @@ class Automaton:
                 if at == len(word) or state == self.dead:
                     break
                 state = self._step(state, word[at])
-        if len(self.seen) > 200_000:
+        if len(self.seen) > MOST_WORDS:
             self.seen.clear()
-        if len(self.steps) > 500_000:
+        if len(self.steps) > MOST_STEPS:
             self._forget()
         self.seen[word] = out = tuple(sorted(best.items()))
         return out
@@ -164,11 +168,15 @@ def hits_of(text: str, automaton: Automaton) -> tuple[list[tuple[int, int, float
     if not toxic:
         return [], len(tokens)
     out = []
+    marks, at = 0, 0  # quote marks of the line before position `at`; every character is counted once
     for i, m in enumerate(WORD.finditer(low)):
         if m.group() not in toxic:
             continue
-        line = low.rfind("\n", 0, m.start()) + 1
-        quoted = sum(low.count(q, line, m.start()) for q in QUOTES) % 2 == 1
+        line = low.rfind("\n", at, m.start()) + 1
+        if line:
+            marks, at = 0, line
+        marks, at = marks + sum(low.count(q, at, m.start()) for q in QUOTES), m.start()
+        quoted = marks % 2 == 1
         near = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
         aimed = not SECOND_PERSON.isdisjoint(near)
         reported = not REPORTING.isdisjoint(tokens[max(0, i - WINDOW) : i])
@@ -263,7 +271,7 @@ def specific(pure: dict[str, float], share: float = 0.8) -> list[tuple[str, bool
     return [(f.strip("^$"), f[0] == "^", n) for f, n in sorted(chosen.items())]
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, most_terms: int = 500, odds: float = 2.5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, odds: float = 2.5) -> Model:
     """Learn lexicon and weights from at most per_class documents of each class.
 
     What reaches the driver: the pure features (a part of the sample's vocabulary),
@@ -278,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, most_terms: i
     ratio = lambda t, b: math.log((t + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
     pure = pure_features(toxic, clean, n_toxic, n_clean, odds)
     terms = specific(pure)
-    terms = sorted(terms, key=lambda t: (-t[2], t[0]))[:most_terms]
+    terms = sorted(terms, key=lambda t: (-t[2], t[0]))
     if not terms:
         return Model()
     model = Model([(t, s) for t, s, _ in terms], [1.0] * len(terms), [1.0] * len(terms))
@@ -383,7 +391,7 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
     other columns are ignored.
     """
     carry = carry or []
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most most_terms terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few terms for each sampled toxic document
     hit_type = pa.list_(pa.struct([("term", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_()), ("at", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
