@@ -49,8 +49,8 @@ def allowed_edits(term: str, stem: bool) -> int:
     return 0 if stem and len(term) < 6 or len(term) < 5 else 1 if len(term) < 9 else 2
 
 
-#: what an automaton remembers before it starts afresh (some 50 MB)
-MOST_WORDS, MOST_STEPS = 60_000, 150_000
+#: what an automaton remembers before it starts afresh (some 100 MB)
+MOST_WORDS, MOST_STEPS = 150_000, 400_000
 
 
 class Automaton:
@@ -226,7 +226,7 @@ def _counted(sample: DataFrame) -> DataFrame:
                     at = seen.setdefault(f, [0.0, 0.0])
                     at[0] += 1
                     at[1] += share
-                if len(seen) > 300_000:
+                if len(seen) > 100_000:
                     yield rows(seen)
                     seen = {}
         yield rows(seen)
