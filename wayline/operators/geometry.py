@@ -21,19 +21,18 @@ def polyline_to_points(steps: DataFrame, keys: list[str], encoded: str, precisio
     return points_of(decoded, keys, "_pts")
 
 
-def segments_of(paths: DataFrame, keys: list[str], points: str = "points") -> DataFrame:
-    """One row per segment: length, bearing and distance of both ends from the start."""
-    lens = paths.withColumn("_len", geo.segment_lengths(F.col(points)))
-    out = lens.withColumns(
-        {"_cum": geo.cumulative(F.col("_len")), "_brg": geo.segment_bearings(F.col(points))}
-    )
-    zipped = F.arrays_zip(
-        F.col("_len").alias("metres"), F.col("_brg").alias("bearing"),
-        F.slice("_cum", 2, F.greatest(F.size("_cum") - 1, F.lit(0))).alias("cum_end"),
-    )
-    return out.select(*keys, F.posexplode(zipped).alias("seg_idx", "s")).select(
-        *keys, "seg_idx", "s.metres", "s.bearing", "s.cum_end"
-    )
+def segments_of(
+    paths: DataFrame, keys: list[str], points: str = "points", measures: tuple[str, ...] = ("metres", "bearing", "cum_end")
+) -> DataFrame:
+    """One row per segment with the measures asked for: length, bearing, distance of its end from the start."""
+    path = F.col(points)
+    made = {
+        "metres": geo.segment_lengths(path), "bearing": geo.segment_bearings(path),
+        "cum_end": F.slice(geo.cumulative(geo.segment_lengths(path)), 2, F.greatest(F.size(path) - 1, F.lit(0))),
+    }
+    own = paths.withColumns({f"_{n}": made[n] for n in measures})
+    zipped = own.withColumn("_s", F.arrays_zip(*[F.col(f"_{n}").alias(n) for n in measures]))
+    return rows_of(zipped, keys, "_s", "seg_idx", "s").select(*keys, "seg_idx", *[f"s.{n}" for n in measures])
 
 
 def route_bounds(paths: DataFrame, route: str = "route_id", points: str = "points") -> DataFrame:
