@@ -159,11 +159,12 @@ def roads_near(
 
 
 def road_info(road: Column) -> Column:
-    """Road attributes as they are stored with a step."""
-    yes = lambda c: c == "yes"
+    """Road attributes as they are stored with a step; flags hold where the tag says yes."""
+    tag = lambda n: road[n].alias(n)
+    yes = lambda n: F.coalesce(road[n] == "yes", F.lit(False)).alias(n)
     return F.struct(
-        road["highway"].alias("highway"), road["name"].alias("name"),
-        road["lanes"].try_cast("int").alias("lanes"), yes(road["oneway"]).alias("oneway"),
+        tag("highway"), tag("name"), tag("ref"), tag("maxspeed"), road["lanes"].try_cast("int").alias("lanes"), tag("surface"),
+        yes("oneway"), yes("lit"), tag("sidewalk"), tag("cycleway"), yes("bridge"), yes("tunnel"), yes("toll"),
     )
 
 

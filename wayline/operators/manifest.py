@@ -6,11 +6,12 @@ route is exactly one row; a huge one is cut into several with rising ``part``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.functions import frames as fr
 from wayline.functions import normalize as N
+from wayline.operators.samples import nested_rows
 from wayline.operators.ordered import running_sums
 
 STEPS_PER_ROW = 1000
@@ -80,22 +81,14 @@ def manifest_steps(manifest: DataFrame) -> DataFrame:
     return manifest.select("route_id", F.explode("steps").alias("s")).select("route_id", "s.*")
 
 
-def manifest_to_samples(manifest: DataFrame) -> DataFrame:
-    """Sample rows of a manifest, with the metres left on the route."""
+def manifest_to_samples(manifest: DataFrame, created_at: Column | None = None) -> DataFrame:
+    """Nested sample rows of a manifest, with the metres left on the route; created_at is that of the manifest."""
     steps = manifest_steps(manifest).withColumn("distance_m", F.coalesce("distance_m", F.lit(0)))
     rest = running_sums(
         steps, ["route_id"], "step_index",
         {"remaining_distance_m": F.col("distance_m").cast("bigint")}, reverse=True,
     )
-    paths = F.transform(
-        F.coalesce("frames", F.array()), lambda f: F.concat(F.lit("frames/"), f["filename"])
-    )
-    return rest.select(
-        N.sample_id(F.col("route_id"), F.col("step_index")).alias("id"), "route_id", "step_index",
-        F.lit("train").alias("split"), "maneuver", F.struct("instruction").alias("prior"),
-        F.struct(paths.alias("frames")).alias("images"),
-        F.struct(F.col("distance_m").alias("step_distance_m"), "remaining_distance_m").alias("distances"),
-    )
+    return nested_rows(rest, "manifest_download", created_at if created_at is not None else F.lit(None).cast("string"))
 
 
 def manifest_routes(manifest: DataFrame) -> DataFrame:

@@ -186,7 +186,8 @@ def _places(spark, sf):
 
 
 @query("nearest_road", with_views("a_steps a_roads", """
-SELECT n.lat, n.lng, n.road_id, r.highway, r.name, TRY_CAST(r.lanes AS INT) AS lanes, r.oneway = 'yes' AS oneway
+SELECT n.lat, n.lng, n.road_id, r.highway, r.name, r.ref, r.maxspeed, TRY_CAST(r.lanes AS INT) AS lanes, r.surface, r.oneway = 'yes' AS oneway,
+  COALESCE(r.lit = 'yes', FALSE) AS lit, r.sidewalk, r.cycleway, COALESCE(r.bridge = 'yes', FALSE) AS bridge, COALESCE(r.tunnel = 'yes', FALSE) AS tunnel, r.toll = 'yes' AS toll
 FROM near n JOIN a_roads r USING (road_id)""", near=_NEAR))
 def _(spark, sf):
     near = geometry.roads_near(_places(spark, sf), t.roads(spark, sf))

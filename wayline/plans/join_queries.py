@@ -2,16 +2,19 @@
 
 from pyspark.sql import functions as F
 
+from wayline import fixed
 from wayline.functions import frames as fr
 from wayline.functions import normalize as N
 from wayline.functions.core import rows_of
 from wayline.operators import frames as fop
-from wayline.operators import joins, manifest, matrix, pairwise, routes
+from wayline.operators import joins, manifest, matrix, pairwise, routes, samples
 from wayline.operators.ordered import cut, uncut
 from wayline.plans import tables as t
 from wayline.plans.frame_queries import _NAME, _STORED, _with_frames
+from wayline.plans.geometry_queries import _CHUNKS, _ENCODED, _NEAR, POSE_SQL
 from wayline.plans.oracle_views import with_views
 from wayline.plans.registry import query
+from wayline.plans.sqltext import case_of
 
 STRINGS = "array<string>"
 
@@ -77,9 +80,11 @@ def _(spark, sf):
 
 
 @query("resume_anti", with_views("a_samples a_results", """
-SELECT sample_id FROM a_samples WHERE sample_id NOT IN (SELECT sample_id FROM a_results WHERE error IS NULL)"""))
+SELECT sample_id FROM a_samples WHERE sample_id NOT IN (SELECT sample_id FROM a_results WHERE error IS NULL AND model_id IN ('co1/m1', 'co2/m2', 'co3/m3') AND sample_id IS NOT NULL)"""))
 def _(spark, sf):
-    return joins.pending_samples(t.samples(spark, sf), t.results(spark, sf)).select("sample_id")
+    # a run of three models is resumed
+    mine = t.results(spark, sf).where(F.col("model_id").isin("co1/m1", "co2/m2", "co3/m3"))
+    return joins.pending_samples(t.samples(spark, sf), joins.kept_results(mine)).select("sample_id")
 
 
 @query("semi_gt_only", with_views("a_votes a_gt", """
@@ -246,34 +251,54 @@ def manifest_rows(spark, sf):
 
 @query("manifest_to_samples", with_views("a_steps", f"""
 SELECT s.route_id || '_step' || format('{{:03d}}', s.step_index) AS id, s.route_id, s.step_index, s.instruction,
-  CAST(SUM(s.distance_m) OVER (PARTITION BY s.route_id ORDER BY s.step_index DESC) AS BIGINT) AS remaining_distance_m, COALESCE(f.names, '') AS frames
+  CAST(SUM(s.distance_m) OVER (PARTITION BY s.route_id ORDER BY s.step_index DESC) AS BIGINT) AS remaining_distance_m, COALESCE(f.names, '') AS frames,
+  'v1.0' AS dataset_version, 'manifest_download' AS source, CAST(NULL AS VARCHAR) AS overhead
 FROM a_steps s LEFT JOIN (SELECT route_id, step_index, string_agg('frames/' || {_NAME}, ',' ORDER BY rem DESC) AS names FROM stored GROUP BY ALL) f USING (route_id, step_index)""", stored=_STORED))
 def _(spark, sf):
     return manifest.manifest_to_samples(manifest_rows(spark, sf)).select(
-        "id", "route_id", "step_index", "prior.instruction", "distances.remaining_distance_m",
+        "id", "route_id", "step_index", "prior.instruction", "distances.remaining_distance_m", "dataset_version", "metadata.source", "images.overhead",
         F.array_join("images.frames", ",").alias("frames"),
     )
 
 
-@query("build_samples", with_views("a_steps a_roads", """
-SELECT route_id || '_step' || format('{:03d}', step_index) AS id, COALESCE(NULLIF(nxt, ''), own) AS instruction, remaining_distance_m, road_name, frames FROM (
-  SELECT s.*, CASE WHEN is_last THEN COALESCE(NULLIF(instruction, ''), 'Arrive at destination') ELSE instruction END AS own,
-    COALESCE(NULLIF(r.name, ''), CASE WHEN s.instruction <> '' THEN 'Road ' || s.sk END) AS road_name, LEAST(4, 1 + (s.distance_m > 40)::INT + (s.distance_m > 60)::INT + (s.distance_m > 80)::INT) AS frames
-  FROM (SELECT *, CASE WHEN LEAD(step_index) OVER w IS NULL THEN NULL ELSE LEAD(instruction) OVER w END AS nxt, LEAD(step_index) OVER w IS NULL AS is_last,
-    CAST(SUM(distance_m) OVER (PARTITION BY route_id ORDER BY step_index DESC) AS BIGINT) AS remaining_distance_m FROM a_steps
-    WINDOW w AS (PARTITION BY route_id ORDER BY step_index)) s
-  LEFT JOIN a_roads r ON r.road_id = s.pk AND r.road_id % 2 = 0)"""))
+_SAMPLE_ORDER = """
+SELECT *, LEAD(step_index) OVER w IS NULL AS is_last, LEAD(instruction) OVER w AS nxt,
+  CAST(SUM(distance_m) OVER (PARTITION BY route_id ORDER BY step_index DESC) AS BIGINT) AS remaining_distance_m
+FROM a_steps WINDOW w AS (PARTITION BY route_id ORDER BY step_index)"""
+_FIRST_TARGET = """
+SELECT DISTINCT route_id, step_index, CAST(LEAST(100, distance_m) AS DOUBLE) AS target, path_m AS total FROM a_cum"""
+_ENDS = "SELECT route_id, step_index, lat AS end_lat, lng AS end_lng FROM a_points WHERE pt_idx = n_points - 1"
+
+
+@query("build_samples", with_views("a_cum a_roads", f"""
+SELECT s.route_id || '_step' || format('{{:03d}}', s.step_index) AS id, s.route_id, s.step_index, 'v1.0' AS dataset_version, 'train' AS split,
+  CASE WHEN maneuver_raw <> '' THEN replace(upper(maneuver_raw), '-', '_') ELSE {case_of('type_code', fixed.MANEUVER_BY_CODE, "'TYPE_' || type_code")} END AS maneuver,
+  COALESCE(NULLIF(CASE WHEN is_last THEN NULL ELSE nxt END, ''), CASE WHEN is_last THEN COALESCE(NULLIF(s.instruction, ''), 'Arrive at destination') ELSE s.instruction END) AS instruction,
+  CAST(NULL AS VARCHAR) AS overhead,
+  array_to_string(list_transform(list_filter([100, 80, 60, 40], lambda t: t <= distance_m OR t = list_min(list_filter([100, 80, 60, 40], lambda u: u >= distance_m))),
+    lambda t: 'frames/' || s.route_id || '_step' || format('{{:03d}}', s.step_index) || '_' || format('{{:03d}}', CAST(distance_m - LEAST(t, distance_m) AS INT))
+      || 'm_' || format('{{:03d}}', CAST(LEAST(t, distance_m) AS INT)) || 'm.jpg'), ',') AS frames,
+  encoded AS step_polyline, lat_e5 / CAST(100000 AS DOUBLE) AS start_lat, lng_e5 / CAST(100000 AS DOUBLE) AS start_lng, end_lat, end_lng,
+  COALESCE(round_even(q.heading, 3), 9) AS heading, distance_m AS step_distance_m, remaining_distance_m,
+  r.highway, r.ref, r.maxspeed, TRY_CAST(r.lanes AS INT) AS lanes, r.surface, r.oneway = 'yes' AS oneway,
+  CASE WHEN r.road_id IS NOT NULL THEN COALESCE(r.lit = 'yes', FALSE) END AS lit, CASE WHEN r.road_id IS NOT NULL THEN COALESCE(r.bridge = 'yes', FALSE) END AS bridge,
+  CASE WHEN r.road_id IS NOT NULL THEN COALESCE(r.tunnel = 'yes', FALSE) END AS tunnel, r.toll = 'yes' AS toll,
+  COALESCE(NULLIF(r.name, ''), CASE WHEN s.instruction <> '' THEN 'Road ' || s.sk END) AS name,
+  CASE WHEN s.instruction <> '' THEN 'Road ' || s.sk ELSE '' END AS street_names, 'google' AS source, '2024-01-01' AS created_at
+FROM route_order s JOIN enc USING (route_id, step_index) JOIN ends USING (route_id, step_index) LEFT JOIN poses q USING (route_id, step_index)
+LEFT JOIN near n ON n.lat = round_even(lat_e5 / CAST(100000 AS DOUBLE), 5) AND n.lng = round_even(lng_e5 / CAST(100000 AS DOUBLE), 5)
+LEFT JOIN a_roads r ON r.road_id = n.road_id""", near=_NEAR, chunks=_CHUNKS, enc=_ENCODED, route_order=_SAMPLE_ORDER, targets=_FIRST_TARGET, poses=POSE_SQL, ends=_ENDS))
 def _(spark, sf):
-    base = cut(t.steps(spark, sf), ["route_id"], "step_index")
-    steps = uncut(routes.remaining_distance(routes.next_step_text(base)))
-    roads = t.roads(spark, sf).where(F.col("road_id") % 2 == 0).select(F.col("road_id").alias("pk"), F.col("name").alias("osm_name"))
-    built = steps.join(roads, "pk", "left")
-    names = N.street_names(F.coalesce("instruction", F.lit("")))
-    return built.select(
-        N.sample_id(F.col("route_id"), F.col("step_index")).alias("id"),
-        F.col("effective_instruction").alias("instruction"), "remaining_distance_m",
-        N.road_name(F.col("osm_name"), names, F.col("instruction")).alias("road_name"),
-        F.size(fr.profile_distances(F.col("distance_m"), F.lit("sparse4"))).alias("frames"),
+    end = F.element_at("points", -1)
+    steps = t.paths(spark, sf).withColumns({
+        "maneuver": N.maneuver_type(F.col("maneuver_raw"), F.col("type_code")), "frames": F.lit(None).cast(f"array<{fop.FRAME}>"),
+        "start_lat": F.col("lat_e5") / 100000.0, "start_lng": F.col("lng_e5") / 100000.0, "end_lat": end["lat"], "end_lng": end["lng"], "heading": F.lit(9.0),
+    })
+    rows = samples.build_samples(steps, t.roads(spark, sf), F.lit("2024-01-01"))
+    return rows.select(
+        "id", "route_id", "step_index", "dataset_version", "split", "maneuver", "prior.*", "images.overhead", F.array_join("images.frames", ",").alias("frames"),
+        *[f"geometry.{n}" for n in ("step_polyline", "start_lat", "start_lng", "end_lat", "end_lng")], F.bround("geometry.heading", 3).alias("heading"),
+        "distances.*", *[f"osm_road.{n}" for n in (*samples.ROAD_FIELDS, "name")], F.array_join("osm_road.street_names", ",").alias("street_names"), "metadata.*",
     )
 
 

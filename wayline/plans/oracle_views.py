@@ -97,7 +97,12 @@ SELECT p_partkey AS road_id,
     ELSE 'service' END AS highway,
   p_name AS name,
   CASE WHEN p_size % 4 = 0 THEN 'two' ELSE CAST(p_size % 5 AS VARCHAR) END AS lanes,
-  CASE WHEN p_size % 2 = 0 THEN 'yes' ELSE 'no' END AS oneway
+  CASE WHEN p_size % 2 = 0 THEN 'yes' ELSE 'no' END AS oneway,
+  CASE WHEN p_partkey % 5 = 0 THEN 'M' || (p_partkey % 50) END AS ref, CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_size % 6 * 10 + 30 AS VARCHAR) END AS maxspeed,
+  CASE WHEN p_partkey % 4 <> 1 THEN p_brand END AS surface, CASE p_partkey % 7 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END AS lit,
+  CASE WHEN p_partkey % 9 = 0 THEN 'both' END AS sidewalk, CASE WHEN p_partkey % 10 = 0 THEN 'lane' END AS cycleway,
+  CASE WHEN p_partkey % 11 = 0 THEN 'yes' END AS bridge, CASE WHEN p_partkey % 13 = 0 THEN 'yes' END AS tunnel,
+  CASE WHEN p_partkey % 17 = 0 THEN 'yes' ELSE 'no' END AS toll
 FROM part""",
     "a_registry": """
 SELECT 'co' || (s_suppkey % 7) || '/x' || s_suppkey AS model_id,

@@ -173,6 +173,12 @@ def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_size") % 4 == 0, "two").otherwise((F.col("p_size") % 5).cast("string"))
         .alias("lanes"),
         F.when(F.col("p_size") % 2 == 0, "yes").otherwise("no").alias("oneway"),
+        F.when(p % 5 == 0, _text("M", p % 50)).alias("ref"),
+        F.when(p % 3 != 0, (F.col("p_size") % 6 * 10 + 30).cast("string")).alias("maxspeed"),
+        F.when(p % 4 != 1, F.col("p_brand")).alias("surface"),
+        F.when(p % 7 == 0, "yes").when(p % 7 == 1, "no").alias("lit"),
+        F.when(p % 9 == 0, "both").alias("sidewalk"), F.when(p % 10 == 0, "lane").alias("cycleway"),
+        F.when(p % 11 == 0, "yes").alias("bridge"), F.when(p % 13 == 0, "yes").alias("tunnel"), F.when(p % 17 == 0, "yes").otherwise("no").alias("toll"),
     )
 
 
