@@ -294,7 +294,7 @@ def test_every_pure_term_counts(spark):
     stems = ["".join(x) for x in itertools.product("aeiu", "bcdfgh", "aeiu", "bcdfgh")][:560]
     text = lambda *more: " ".join([*rng.sample(filler, 8), *more])
     eight = lambda i, end: [stems[(8 * i + k) % 560] + end for k in range(8)]
-    toxic = [text(*eight(i, "zzz")) for i in range(1978)] + [text("wukkyzzz") for _ in range(22)]
+    toxic = [text(*eight(i, "zzz")) for i in range(1974)] + [text("wukkyzzz") for _ in range(26)]
     rows = list(enumerate(toxic)) + [(100_000 + i, text(*eight(i, "lom"), "wukkylom" if i < 50 else "")) for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = docs.selectExpr("doc_id", "int(doc_id < 100000) as toxic")

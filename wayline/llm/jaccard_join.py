@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from wayline.llm import packets, words
 from wayline.llm.components import components
 from wayline.llm.spread import spread_join
+from wayline.llm.workers import released
 from wayline.workspace import written
 
 C = F.col
@@ -82,7 +83,7 @@ def shared_counts(docs: DataFrame, n: int, buckets: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.slices(batch):
+            for part in words.slices(batch, size=500_000):
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
                 sets = shingle_sets(words.texts_of(part), n)
                 size = np.array([len(s) for s in sets], np.uint32)
@@ -124,7 +125,7 @@ def shared_counts(docs: DataFrame, n: int, buckets: int) -> DataFrame:
                 [pa.array(ids[first], pa.int64()), pa.array(np.maximum.reduceat(size, first).astype(np.int64)), pa.array(np.maximum.reduceat(t, first).astype(np.int64)),
                  pa.array(np.add.reduceat(r, first))], ["doc_id", "n", "t", "r"])
 
-    found = written(docs.mapInArrow(emit, packets.SCHEMA), "fragments")
+    found = written(docs.mapInArrow(released(emit), packets.SCHEMA), "fragments")
     more = packets.per_bucket(found.where(C("bucket") >= 0), (np.uint32,), repeated, packets.SCHEMA)
     return packets.per_bucket(found.where(C("bucket") < 0).unionByName(more), (np.uint32,) * 3, total, "doc_id bigint, n bigint, t bigint, r bigint")
 
@@ -135,13 +136,13 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.slices(batch):
+            for part in words.slices(batch, size=500_000):
                 raw = [s.tobytes() for s in shingle_sets(words.texts_of(part), n)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(x) // 8 for x in raw], pa.int64()), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary()),
                      pa.array(raw, pa.binary())], ["doc_id", "n", "digest", "grams"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, digest binary, grams binary")
+    return docs.mapInArrow(released(run), "doc_id bigint, n bigint, digest binary, grams binary")
 
 
 def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -193,7 +194,7 @@ def ranked(sets: DataFrame, percent: int, buckets: int) -> tuple[DataFrame, Data
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "n", "weight", "grams"), r)) for r in out], schema=pa.schema(
                 [("doc_id", pa.int64()), ("n", pa.int64()), ("weight", pa.float64()), ("grams", pa.binary())]))
 
-    found = written(sets.select("doc_id", "grams").mapInArrow(emit, packets.SCHEMA), "grams")
+    found = written(sets.select("doc_id", "grams").mapInArrow(released(emit), packets.SCHEMA), "grams")
     by_gram = found.where(C("bucket") >= 0)
     counted = packets.per_bucket(by_gram, (np.uint64, np.uint32), frequency, packets.SCHEMA)
     out = packets.per_bucket(found.where(C("bucket") < 0).unionByName(counted), (np.uint64, np.uint32, np.uint32), choose, "doc_id bigint, n bigint, weight double, grams binary")
@@ -209,7 +210,7 @@ def hub_pairs(sets: DataFrame, stars: int) -> DataFrame:
             keys = [[int(words.mix(s * (_SALT + np.uint64(2 * k))).min().view(np.int64)) for k in range(stars)] for s in sets_]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("weight"), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "weight", "keys"])
 
-    keyed = written(sets.select("doc_id", "weight", "grams").mapInArrow(run, "doc_id bigint, weight double, keys array<bigint>").select("doc_id", "weight", F.posexplode("keys").alias("k", "key")), "minima")
+    keyed = written(sets.select("doc_id", "weight", "grams").mapInArrow(released(run), "doc_id bigint, weight double, keys array<bigint>").select("doc_id", "weight", F.posexplode("keys").alias("k", "key")), "minima")
     hubs = keyed.groupBy("k", "key").agg(F.max(F.struct("weight", (-C("doc_id")).alias("minus"))).alias("hub"), F.count("*").alias("c")).where("c > 1").select("k", "key", (-C("hub.minus")).alias("b"))
     return spread_join(keyed, hubs, ["k", "key"], "inner", C("doc_id")).where("doc_id <> b").select(C("doc_id").alias("a"), "b").distinct()
 
@@ -251,7 +252,7 @@ def cross_pairs(rows: DataFrame, percent: int, buckets: int) -> DataFrame:
         if size:
             yield _distinct(a, b)
 
-    posted = rows.mapInArrow(emit, packets.SCHEMA)
+    posted = rows.mapInArrow(released(emit), packets.SCHEMA)
     return packets.per_bucket(posted, (np.uint64, np.int64, np.uint32), meet, "a bigint, b bigint").distinct()
 
 
@@ -322,7 +323,7 @@ def pivot_pairs(pivots: DataFrame, order: DataFrame, sets: DataFrame, by_gram: D
 
     both = pivots.join(order.select(C("doc_id").alias("a"), "n", "grams"), "a").join(
         sets.select(C("doc_id").alias("pivot"), C("n").alias("n_pivot"), C("grams").alias("pivot_grams")), "pivot")
-    probes = both.select("a", "n", "n_pivot", "common", "grams", "pivot_grams").mapInArrow(ask, packets.SCHEMA)
+    probes = both.select("a", "n", "n_pivot", "common", "grams", "pivot_grams").mapInArrow(released(ask), packets.SCHEMA)
     found = packets.per_bucket(by_gram.unionByName(probes), (np.uint64, np.uint32, np.uint32), look_up, "a bigint, b bigint", marked=True)
     found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     of = lambda c: info.select(C("doc_id").alias(c), C("component").alias(f"component_{c}"))
@@ -352,11 +353,11 @@ def overlaps(pairs: DataFrame, sets: DataFrame, fragments: int = FRAGMENTS) -> D
                 common.append(int((y[at] == x).sum()) if len(y) else 0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "size")), pa.array(common, pa.int64())], ["a", "b", "size", "common"])
 
-    parts = sets.select("doc_id", "grams").mapInArrow(cut, "doc_id bigint, n bigint, f int, part binary")
+    parts = sets.select("doc_id", "grams").mapInArrow(released(cut), "doc_id bigint, n bigint, f int, part binary")
     left = parts.select(C("doc_id").alias("a"), C("n").alias("n_a"), "f", C("part").alias("part_a"))
     right = parts.select(C("doc_id").alias("b"), C("n").alias("n_b"), "f", C("part").alias("part_b"))
     met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), ["b", "f"]).select("a", "b", (C("n_a") + C("n_b")).alias("size"), "part_a", "part_b")
-    return met.mapInArrow(overlap, "a bigint, b bigint, size bigint, common bigint").groupBy("a", "b").agg(F.max("size").alias("size"), F.sum("common").alias("common"))
+    return met.mapInArrow(released(overlap), "a bigint, b bigint, size bigint, common bigint").groupBy("a", "b").agg(F.max("size").alias("size"), F.sum("common").alias("common"))
 
 
 def similar_groups(docs: DataFrame, n: int = NGRAM, percent: int = 75) -> DataFrame:

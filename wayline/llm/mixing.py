@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wayline.llm import words
 from wayline.llm.spread import in_order
+from wayline.llm.workers import released
 from wayline.workspace import written
 
 C = F.col
@@ -118,7 +119,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(sizes, pa.int64())], ["doc_id", "source", "size"])
 
     d = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInArrow(count, f"doc_id {d}, source string, size bigint")
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInArrow(released(count), f"doc_id {d}, source string, size bigint")
 
 
 def mix(docs: DataFrame, block: int = 64, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, seed: int = 11, per_shard: int = 4096, most_shards: int = 10_000, most_sources: int = 100_000) -> DataFrame:
@@ -197,7 +198,7 @@ def _word_offsets(ordered: DataFrame) -> DataFrame:
     # a file of the written table is one range in order; sorting again keeps that where Spark joins several small files
     ranges = ordered.repartition("part").sortWithinPartitions("part", "row")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranges.schema.fields)
-    return ranges.mapInArrow(running, f"{fields}, local bigint").join(F.broadcast(offsets), ["s", "part"]).withColumn("start", C("local") + C("offset")).drop("local", "offset")
+    return ranges.mapInArrow(released(running), f"{fields}, local bigint").join(F.broadcast(offsets), ["s", "part"]).withColumn("start", C("local") + C("offset")).drop("local", "offset")
 
 
 def mixed_documents(docs: DataFrame, block: int = 64, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, seed: int = 11) -> DataFrame:

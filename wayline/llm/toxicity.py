@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wayline.llm import words
+from wayline.llm.workers import released
 from wayline.workspace import written
 
 C = F.col
@@ -231,7 +232,7 @@ def _counted(sample: DataFrame) -> DataFrame:
                     seen = {}
         yield rows(seen)
 
-    counted = sample.select("text").mapInArrow(run, "feature string, n double, share double")
+    counted = sample.select("text").mapInArrow(released(run), "feature string, n double, share double")
     return counted.groupBy("feature").agg(F.sum("n").alias("n"), F.round(F.sum("share"), 9).alias("share"))
 
 
@@ -318,7 +319,7 @@ def _hits(sample: DataFrame, model: Model) -> list[tuple[int, int, list[tuple[in
                 rows.append({"label": int(label >= 1), "n": n, "hits": [x for h in tally(hits) for x in map(float, h)]})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("label", pa.int32()), ("n", pa.int64()), ("hits", pa.list_(pa.float64()))]))
 
-    got = sample.mapInArrow(run, "label int, n bigint, hits array<double>").collect()
+    got = sample.mapInArrow(released(run), "label int, n bigint, hits array<double>").collect()
     four = lambda v: [(int(v[i]), int(v[i + 1]), v[i + 2], int(v[i + 3])) for i in range(0, len(v), 4)]
     return sorted(((r["label"], r["n"], four(r["hits"])) for r in got), key=repr)
 
@@ -379,7 +380,7 @@ def keep_below(docs: DataFrame, model: Model, limit: float) -> DataFrame:
                 p, _ = scores_of(part.column("text").to_pylist(), shared.value, automaton)
                 yield part.filter(pa.array(p < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
@@ -406,4 +407,4 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
 
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ["doc_id", *carry])
     return docs.select("doc_id", *carry, "text").mapInArrow(
-        run, f"{types}, score double, hits array<struct<term string, edits int, quoted boolean, at bigint>>")
+        released(run), f"{types}, score double, hits array<struct<term string, edits int, quoted boolean, at bigint>>")

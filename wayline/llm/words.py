@@ -52,7 +52,7 @@ def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     have = _POWERS.get(int(base))
     if have is None or len(have[0]) < n:
-        size = max(n, SLICE_BYTES + 65536)
+        size = max(n + 65536, 2**19)
         inverse = _U(pow(int(base), -1, 2**64))
         have = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (base, inverse))
         if size <= 4 * SLICE_BYTES:
