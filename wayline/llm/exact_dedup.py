@@ -8,26 +8,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from wayline.llm.spread import spread_join
 from wayline.workspace import written
 
 C = F.col
+#: tasks that share the rows of one length, prefix or text
+SALTS = 64
 
 
 def possible_copies(docs: DataFrame, prefix_chars: int = 64) -> tuple[DataFrame, DataFrame]:
     """Narrow rows (doc_id, n_bytes, prefix_hash) of all documents, and the distinct ids whose (length, prefix) repeats.
 
-    Group counts are combined before the shuffle, so a length that a third of
-    the documents share costs no task more than another. The joins are keyed on
-    one-row-per-group tables; their hot side is left to adaptive skew splitting.
+    Group counts are combined before the shuffle, and the rows of a length or
+    prefix are dealt over many tasks by their id where they meet its one row, so
+    a length that a third of the documents share costs no task more than another.
     """
     text = F.coalesce(C("text"), F.lit(""))
     narrow = written(
         docs.select("doc_id", F.octet_length(text).alias("n_bytes"), F.xxhash64(F.substring(text, 1, prefix_chars)).alias("prefix_hash")), "lengths"
     )
     lengths = narrow.groupBy("n_bytes").count().where("count > 1").select("n_bytes")
-    same_length = narrow.join(lengths, "n_bytes", "left_semi")
+    same_length = spread_join(narrow, lengths, ["n_bytes"], "left_semi", C("doc_id"), SALTS)
     prefixes = same_length.groupBy("n_bytes", "prefix_hash").count().where("count > 1").select("n_bytes", "prefix_hash")
-    ids = same_length.join(prefixes, ["n_bytes", "prefix_hash"], "left_semi").select("doc_id").distinct()
+    ids = spread_join(same_length, prefixes, ["n_bytes", "prefix_hash"], "left_semi", C("doc_id"), SALTS).select("doc_id").distinct()
     return narrow, ids
 
 
@@ -56,7 +59,7 @@ def exact_copies(docs: DataFrame, prefix_chars: int = 64, hash_all: bool = False
         among = written(docs.join(ids, same, "left_semi").select("doc_id", full), "hashes")
     groups = among.groupBy("text_hash").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     columns = ["doc_id", "keep_id", "group_size", C("doc_id").eqNullSafe(C("keep_id")).alias("kept"), "text_hash"]
-    return among.join(groups, "text_hash").select(*columns).unionByName(
+    return spread_join(among, groups, ["text_hash"], "inner", C("doc_id"), SALTS).select(*columns).unionByName(
         alone.select("doc_id", C("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_hash")
     )
 
