@@ -16,25 +16,40 @@ def hash_number(*cols: Column) -> Column:
     return F.conv(F.left(F.md5(F.concat_ws("|", *cols)), F.lit(8)), 16, 10).cast("bigint")
 
 
-def cross_company_pairs(models: DataFrame, seed: int = 42, blocks: int = 16) -> DataFrame:
+def cross_company_pairs(
+    models: DataFrame, seed: int = 42, blocks: int = 16, ratings: DataFrame | None = None, max_gap: float = 0,
+) -> DataFrame:
     """All unordered pairs of models of different companies, with a seeded A side.
 
     The result is every pair, so the work is split evenly instead of joined
     without a key: models fall into hash blocks, each block pair is one key.
+    With ``ratings`` (one row per model) and a gap only pairs within the gap are
+    made: ratings fall into bands as wide as the gap and meet the bands beside
+    them.  A model without a rating has the start rating; a gap of 0 switches
+    the rule off.
     """
+    banded = ratings is not None and bool(max_gap)
     one = models.select("model_id").distinct().withColumns(
         {
             "company": company_of_model(F.col("model_id")),
             "_b": (hash_number(F.col("model_id")) % blocks).cast("int"),
         }
     )
+    if banded:
+        one = one.join(ratings.select("model_id", F.col("rating").alias("_r")), "model_id", "left")
+        one = one.withColumn("_r", F.coalesce("_r", F.lit(fixed.START_RATING)).cast("double"))
+        one = one.withColumn("_band", F.floor(F.col("_r") / F.lit(float(max_gap))))
+    else:
+        one = one.withColumns({"_r": F.lit(0.0), "_band": F.lit(0).cast("long")})
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    side = lambda x, lo, hi: one.select(
-        F.col("model_id").alias(f"model_{x}"), F.col("company").alias(f"company_{x}"),
-        F.explode(every).alias("_o"), "_b",
-    ).select(f"model_{x}", f"company_{x}", F.col(lo).alias("_i"), F.col(hi).alias("_j"))
-    pairs = side("x", "_b", "_o").join(side("y", "_o", "_b"), ["_i", "_j"]).where(
+    near = F.array(*[F.col("_band") + d for d in ((-1, 0, 1) if banded else (0,))])
+    side = lambda x, lo, hi, bands: one.select(
+        F.col("model_id").alias(f"model_{x}"), F.col("company").alias(f"company_{x}"), F.col("_r").alias(f"_r{x}"),
+        F.explode(every).alias("_o"), "_b", bands.alias("_bands"),
+    ).select(f"model_{x}", f"company_{x}", f"_r{x}", F.col(lo).alias("_i"), F.col(hi).alias("_j"), F.explode("_bands").alias("_band"))
+    pairs = side("x", "_b", "_o", near).join(side("y", "_o", "_b", F.array("_band")), ["_i", "_j", "_band"]).where(
         (F.col("model_x") < F.col("model_y")) & (F.col("company_x") != F.col("company_y"))
+        & (F.abs(F.col("_rx") - F.col("_ry")) <= float(max_gap) if banded else F.lit(True))
     )
     first = hash_number(F.col("model_x"), F.col("model_y"), F.lit(str(seed))) % 2 == 0
     pick = lambda a, b, c: F.when(first, F.col(f"{c}_{a}")).otherwise(F.col(f"{c}_{b}"))
@@ -138,9 +153,17 @@ def ratings(comparisons: DataFrame, prior: float = 1.0, tolerance: float = 1e-10
     return spark.createDataFrame(rated, "model_id string, rating double")
 
 
-def benchmark_cost(pairs: DataFrame, samples: DataFrame, limit: int | None = None) -> DataFrame:
-    """Comparisons, judge calls and dollars of judging every pair on every sample."""
-    n_pairs = pairs.agg(F.count("*").alias("pairs"))
+def pair_count(models: DataFrame) -> DataFrame:
+    """Number of pairs of different companies, without making one: half of N squared less the squares per company."""
+    one = models.select("model_id").distinct().select(company_of_model(F.col("model_id")).alias("company"))
+    sizes = one.where(F.col("company").isNotNull()).groupBy("company").agg(F.count("*").alias("n"))
+    n = F.coalesce(F.sum("n"), F.lit(0))
+    return sizes.agg(((n * n - F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0))) / 2).cast("long").alias("pairs"))
+
+
+def benchmark_cost(models: DataFrame, samples: DataFrame, limit: int | None = None) -> DataFrame:
+    """Comparisons, judge calls and dollars of judging every pair of models on every sample."""
+    n_pairs = pair_count(models)
     n_samples = samples.agg(F.count("*").alias("samples")).select(
         F.col("samples") if limit is None else F.least("samples", F.lit(limit)).alias("samples")
     )

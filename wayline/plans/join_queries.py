@@ -136,7 +136,7 @@ SELECT model_a, model_b FROM pairs JOIN rated a ON a.model_id = model_a JOIN rat
 def _(spark, sf):
     res = t.results(spark, sf)
     rated = res.groupBy("model_id").agg((900 + F.count("*") % 300 * 4).cast("double").alias("rating"))
-    return pairwise.close_pairs(pairwise.cross_company_pairs(res), rated, 200).select("model_a", "model_b")
+    return pairwise.cross_company_pairs(res, ratings=rated, max_gap=200).select("model_a", "model_b")
 
 
 @query("existing_comparison_anti", with_views("a_votes", """

@@ -127,12 +127,10 @@ SELECT s.sample_id, s.route_id, m.model_id, m.variant, m.provider, k.task, k.mod
   (VALUES ('video_prior_normal', 'video + prior', FALSE), ('prior_only', 'prior', FALSE), ('image_prior_augmented', 'image + prior', TRUE)) k(task, modality, augmented)"""
 
 
-def _cells(spark, sf):
+def _run(spark, sf):
+    """Samples, configuration and assignments of a run."""
     samples = t.samples(spark, sf)
-    return matrix.expand_tasks(
-        samples, MODELS, ["video_prior_normal", "prior_only", "image_prior_augmented"],
-        matrix.assign_augments(samples), {"provider": "router"},
-    )
+    return samples, MODELS, ["video_prior_normal", "prior_only", "image_prior_augmented"], matrix.assign_augments(samples)
 
 
 @query("round_robin_augment", with_views("a_samples", "SELECT route_id, augment FROM assigned", assigned=_ASSIGNED))
@@ -151,7 +149,7 @@ def _(spark, sf):
 @query("matrix_task_expand", with_views("a_samples", """
 SELECT model_id, variant, provider, task, modality, augment, COUNT(*) AS attempted FROM cells GROUP BY ALL""", assigned=_ASSIGNED, cells=_CELLS))
 def _(spark, sf):
-    return matrix.task_table(_cells(spark, sf))
+    return matrix.task_table(*_run(spark, sf), {"provider": "router"})
 
 
 @query("matrix_task_summary", with_views("a_samples a_results", """
@@ -167,7 +165,7 @@ GROUP BY ALL""", assigned=_ASSIGNED, cells=_CELLS))
 def _(spark, sf):
     res = t.results(spark, sf).withColumn("error", F.when(F.col("latency_ms") % 5 == 0, "failed"))
     even = F.col("ordinal") % 2 == 0
-    return matrix.task_summary(_cells(spark, sf), res.where(even), res.where(~even))
+    return matrix.task_summary(*_run(spark, sf), res.where(even), res.where(~even))
 
 
 @query("modality_coverage", with_views("a_samples a_results", """
@@ -176,7 +174,7 @@ LEFT JOIN (SELECT DISTINCT sample_id, model_id, modality, NULLIF(variant, '') AS
   ON d.sample_id = c.sample_id AND d.model_id = c.model_id AND d.modality = c.modality AND d.variant IS NOT DISTINCT FROM c.variant AND d.augment IS NOT DISTINCT FROM c.augment
 GROUP BY ROLLUP (c.model_id, c.modality, c.route_id)""", assigned=_ASSIGNED, cells=_CELLS))
 def _(spark, sf):
-    return matrix.coverage(_cells(spark, sf), t.results(spark, sf))
+    return matrix.coverage(*_run(spark, sf), t.results(spark, sf))
 
 
 @query("route_totals", with_views("a_steps", f"""
@@ -227,7 +225,7 @@ def _(spark, sf):
 SELECT p AS pairs, p * s AS total_comparisons, p * s * 3 AS total_judge_calls, round_even(p * s * 3 * CAST(0.025 AS DOUBLE), 4) AS estimated_cost_usd
 FROM (SELECT (SELECT COUNT(*) FROM pairs) AS p, (SELECT COUNT(*) FROM a_samples) AS s)""", pairs=PAIRS))
 def _(spark, sf):
-    return pairwise.benchmark_cost(pairwise.cross_company_pairs(t.results(spark, sf)), t.samples(spark, sf))
+    return pairwise.benchmark_cost(t.results(spark, sf), t.samples(spark, sf))
 
 
 MAJORITY = """
