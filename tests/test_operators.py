@@ -3,6 +3,7 @@ import itertools
 import json
 import math
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -268,3 +269,65 @@ def test_unique_stream_late_and_distant_repeats(spark, tmp_path):
     assert run() == ["a None", "b fog", "c None"]
     land(("d", None, "2024-01-01"), ("b", "fog", "2024-01-01"), ("a", None, "2024-09-01"))  # after a restart; d is new but late
     assert run() == ["a None", "b fog", "c None", "d None"]
+
+
+def test_run_counts_match_the_grid(spark):
+    rng = random.Random(5)
+    samples = spark.createDataFrame([(i, f"r{i % 4}" if i % 9 else None) for i in range(40)] + [(3, "r3")], "sample_id long, route_id string")
+    given = spark.createDataFrame([("r0", "rain"), ("r1", "fog"), ("r2", "")], "route_id string, augment string")
+    models = [{"model_id": "a/m"}, {"model_id": "b/m", "variant": ""}, {"model_id": "b/m", "variant": "v"}]
+    tasks = ["prior_only", "image_prior_normal", "image_prior_augmented"]
+    pick = lambda: (
+        rng.choice([None, *range(45)]), rng.choice(["a/m", "b/m", "c/m"]), rng.choice(["prior", "image + prior", "video + prior"]),
+        rng.choice([None, "", "v"]), rng.choice([None, "", "rain", "fog"]), rng.choice([None, None, "", "failed"]),
+    )
+    schema = "sample_id long, model_id string, modality string, variant string, augment string, error string"
+    old, new = [pick() for _ in range(700)], [pick() for _ in range(700)]
+    grid = matrix.expand_tasks(samples, models, tasks, given).collect()
+    cell = lambda r: (r[0], r[1], r[2], r[3] or None, r[4] or None)
+    asked = [(g.route_id, cell((g.sample_id, g.model_id, g.modality, g.variant, g.augment))) for g in grid]
+    before, done = {cell(r) for r in old}, {cell(r) for r in old if not r[5]}
+    want, seen = Counter(), {}
+    for route, c in asked:
+        for key in {(c[1], c[2], route, 0), (c[1], c[2], None, 1), (c[1], None, None, 2), (None, None, None, 3)}:
+            want[key + ("all",)] += 1
+            want[key + ("ok",)] += c in done
+        row = seen.setdefault((c[1], c[3], c[2], c[4]), [0, 0, 0, 0])
+        mine = [] if c in before else [r for r in new if cell(r) == c]
+        for at, n in enumerate((1, c in before, len(mine), sum(bool(r[5]) for r in mine))):
+            row[at] += n
+    got = matrix.coverage(samples, models, tasks, given, spark.createDataFrame(old, schema)).collect()
+    expected = Counter((k[:3], n, want[k[:4] + ("ok",)]) for k, n in want.items() if k[4] == "all")
+    assert Counter(((r.model_id, r.modality, r.route_id), r.expected, r.present) for r in got) == expected
+    assert all(r.missing == r.expected - r.present for r in got)
+    summary = matrix.task_summary(samples, models, tasks, given, spark.createDataFrame(old, schema), spark.createDataFrame(new, schema))
+    assert {tuple(r)[:4]: list(r)[4:] for r in summary.collect()} == seen
+    table = Counter((g.model_id, g.variant, g.provider, g.task, g.modality, g.augment) for g in grid)
+    assert {tuple(r)[:6]: r.attempted for r in matrix.task_table(samples, models, tasks, given).collect()} == dict(table)
+
+
+def test_pairs_within_a_gap_and_their_number(spark):
+    rng = random.Random(8)
+    names = [f"c{i % 5}/m{i}" for i in range(60)]
+    rated = {n: rng.choice([-350.5, 900.0, 1000.0, 1100.0, 1300.0, 1700.25]) for n in names[:45]}
+    models = spark.createDataFrame([(n,) for n in [*names, *names[:5], None]], "model_id string")
+    ratings = spark.createDataFrame(list(rated.items()), "model_id string, rating double")
+    pairs = pairwise.cross_company_pairs(models)
+    close = pairwise.cross_company_pairs(models, ratings=ratings, max_gap=200)
+    assert sorted(close.collect()) == sorted(pairwise.close_pairs(pairs, ratings, 200).select(*close.columns).collect())
+    assert 0 < close.count() < pairs.count() == pairwise.pair_count(models).first()[0]
+    assert pairwise.pair_count(models.limit(0)).first()[0] == 0
+
+
+def test_first_rows(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([1, 2, None]), f"text {i}") for i in rng.sample(range(90), 60)] + [(None, "c", 1, "x")]
+    df = spark.createDataFrame(rows, "n long, k string, m long, wide string")
+    for last, best in ((False, min), (True, max)):
+        got = ordered.first_rows(df, ["k", "m"], "n", last=last)
+        want = {}
+        for r in rows[:-1]:
+            want[r[1:3]] = best(want.get(r[1:3], r), r, key=lambda x: x[0])
+        assert got.columns == df.columns and {tuple(r) for r in got.collect()} == set(want.values()) and got.count() == len(want)
+    plan = ordered.first_rows(df, ["k", "m"], "n")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.functions.core import present
-from wayline.operators.ordered import first_by
+from wayline.operators.ordered import first_by, first_rows
 
 CELL = ["sample_id", "model_id", "modality", "variant", "augment"]
 
 
 def latest_labels(labels: DataFrame, key: str = "sample_id", order: str = "line") -> DataFrame:
-    """The last row of a label wins."""
-    return first_by(labels, [key], F.col(order), last=True)
+    """The last row of a label wins; ``order`` is unique per label."""
+    return first_rows(labels, [key], order, last=True)
 
 
 def predictions_with_labels(preds: DataFrame, labels: DataFrame, order: str = "line") -> DataFrame:
@@ -35,12 +35,12 @@ def match_counts(preds: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def first_results(results: DataFrame, order: str = "ordinal") -> DataFrame:
-    """First answer without error per sample and model, in file order."""
+    """First answer without error per sample and model, in file order (``order`` is unique)."""
     usable = results.where(
         present(F.col("error")).isNull() & F.col("sample_id").isNotNull()
         & present(F.col("model_id")).isNotNull()
     )
-    return first_by(usable, ["sample_id", "model_id"], F.col(order))
+    return first_rows(usable, ["sample_id", "model_id"], order)
 
 
 GT_FIELDS = [

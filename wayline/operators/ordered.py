@@ -203,3 +203,18 @@ def first_by(df: DataFrame, keys: list[str], order: Column, *, last: bool = Fals
     pick = F.max_by if last else F.min_by
     row = pick(F.struct(*rest), order).alias("_row")
     return df.groupBy(*keys).agg(row).select(*keys, "_row.*").select(*df.columns)
+
+
+def first_rows(df: DataFrame, keys: list[str], order: str, *, last: bool = False) -> DataFrame:
+    """One row per key: the first (or last) by a whole-number column that is unique within a key.
+
+    Only keys and order are aggregated, in a hash map; the wide rows then meet
+    the chosen ones in a semi-join and are never sorted or folded.  A hot key is
+    one chosen row.  Rows without an order drop out; null keys are one key.
+    """
+    pick = F.max if last else F.min
+    best = df.groupBy(*keys).agg(pick(order).alias("_at")).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = F.col(order) == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(best, same, "left_semi")

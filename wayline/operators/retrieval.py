@@ -7,12 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayline.functions.text import cosine
-from wayline.operators.ordered import first_by
+from wayline.operators.ordered import first_rows
 
 
 def index_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Index content: writing an id again replaces its row."""
-    return first_by(rows, [key], F.col(order), last=True)
+    """Index content: writing an id again replaces its row; ``order`` is unique per id."""
+    return first_rows(rows, [key], order, last=True)
 
 
 def top_similar(index: DataFrame, query: Column, n: int, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
