@@ -13,7 +13,7 @@ from wayline.workspace import written
 
 C = F.col
 #: tasks that share the rows of one length, prefix or text
-SALTS = 64
+SALTS = 16
 
 
 def possible_copies(docs: DataFrame, prefix_chars: int = 64) -> tuple[DataFrame, DataFrame]:
