@@ -37,11 +37,12 @@ def collapsed(df: DataFrame, x: str, y: str) -> DataFrame:
     """Distinct (x, y) points with their counts.
 
     Written once: the rank steps read them several times, and the scores behind
-    them are expensive.
+    them are expensive.  The two scores of a row are written before that, too: a
+    filter on a score would else be moved down to the scan together with the
+    whole expression, each use of a part of it evaluated again.
     """
-    points = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(
-        F.col(x).alias("x"), F.col(y).alias("y")
-    ).agg(F.count("*").alias("n"))
+    scored = durable(df.select(F.col(x).alias("x"), F.col(y).alias("y")))
+    points = scored.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("x", "y").agg(F.count("*").alias("n"))
     return durable(points)
 
 

@@ -85,9 +85,12 @@ def composite_rewards(paired: DataFrame, keys: list[str], with_latency: bool = F
 
     Expects pred_text and ref_text, the answer fields, ``label_*`` columns,
     ``answer_keys`` (keys present in the raw answer) and ``clip_text`` /
-    ``clip_image`` vectors.
+    ``clip_image`` vectors.  A row is few bytes and much work, so the rows are
+    dealt by their keys, in a fixed number of parts that no size merges again.
     """
-    df = T.with_overlap(paired, F.col("pred_text"), F.col("ref_text"), T.word_tokens, "_w")
+    parts = int(paired.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seen = paired.withColumn("_clip", T.clip_similarity(F.col("clip_text"), F.col("clip_image"))).drop("clip_text", "clip_image")
+    df = T.with_overlap(seen.repartition(parts, *keys), F.col("pred_text"), F.col("ref_text"), T.word_tokens, "_w")
     rewards = {
         "action_reward": S.action_reward(F.col("next_action"), F.col("label_maneuver")),
         "lane_reward": S.lane_reward(
@@ -97,7 +100,7 @@ def composite_rewards(paired: DataFrame, keys: list[str], with_latency: bool = F
         "format_reward": S.format_reward(F.col("answer_keys")),
         "length_reward": T.length_reward(F.col("_wnp")),
         "bertscore_reward": T.token_f1("_w"),
-        "clipscore_reward": T.clip_similarity(F.col("clip_text"), F.col("clip_image")),
+        "clipscore_reward": F.col("_clip"),
         "cider_reward": T.cider_like("_w"),
         "rouge_l_reward": T.rouge_l("_w"),
     }
