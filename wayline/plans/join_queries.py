@@ -80,11 +80,9 @@ def _(spark, sf):
 
 
 @query("resume_anti", with_views("a_samples a_results", """
-SELECT sample_id FROM a_samples WHERE sample_id NOT IN (SELECT sample_id FROM a_results WHERE error IS NULL AND model_id IN ('co1/m1', 'co2/m2', 'co3/m3') AND sample_id IS NOT NULL)"""))
+SELECT sample_id FROM a_samples WHERE sample_id NOT IN (SELECT sample_id FROM a_results WHERE error IS NULL)"""))
 def _(spark, sf):
-    # a run of three models is resumed
-    mine = t.results(spark, sf).where(F.col("model_id").isin("co1/m1", "co2/m2", "co3/m3"))
-    return joins.pending_samples(t.samples(spark, sf), joins.kept_results(mine)).select("sample_id")
+    return joins.pending_samples(t.samples(spark, sf), joins.kept_results(t.results(spark, sf))).select("sample_id")
 
 
 @query("semi_gt_only", with_views("a_votes a_gt", """
