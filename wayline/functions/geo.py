@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wayline import fixed
+from wayline.functions import paths
 from wayline.functions.core import indices, let, whole
 
 POINTS = "array<struct<lat:double,lng:double>>"
@@ -75,58 +76,15 @@ def path_length(points: Column) -> Column:
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 CLOSING = "".join(chr(63 + d) for d in range(32))
 OPEN = "".join(chr(95 + d) for d in range(32))
-MOST_DIGITS = 7
-
-
-def _zigzag_decode(v: Column) -> Column:
-    return F.when(v % 2 == 1, -F.shiftright(v, 1) - 1).otherwise(F.shiftright(v, 1))
 
 
 def decode_polyline(encoded: Column, precision: int = 5) -> Column:
     """Points of an encoded path; no points where the text is malformed.
 
-    The text is cut into numbers by one pattern and each number is converted as
-    a base-32 text, so nothing is done per character outside native functions.
-    A number of more than MOST_DIGITS digits is no coordinate.
+    A number of more than ``paths.MOST_DIGITS`` digits is no coordinate.  Works
+    on batches, so it cannot stand inside a higher-order function.
     """
-    zero = F.lit(0).cast("bigint")
-    texts = F.regexp_extract_all(encoded, F.lit("[_-~]*[?-^]"), F.lit(0))
-
-    def number(text: Column) -> Column:
-        digits = F.reverse(F.translate(text, CLOSING + OPEN, DIGITS + DIGITS))
-        return let(F.conv(digits, 32, 10).cast("bigint"), _zigzag_decode)
-
-    def points(d: Column) -> Column:
-        scale = float(10**precision)
-        start = F.struct(
-            zero.alias("lat"), zero.alias("lng"), F.array().cast(POINTS).alias("pts")
-        )
-
-        def step(acc: Column, i: Column) -> Column:
-            lat, lng = acc["lat"] + F.get(d, i * 2), acc["lng"] + F.get(d, i * 2 + 1)
-            moved = F.struct(lat.alias("lat"), lng.alias("lng"))
-            point = lambda m: F.struct(
-                (m["lat"].cast("double") / scale).alias("lat"), (m["lng"].cast("double") / scale).alias("lng")
-            )
-            return let(
-                moved,
-                lambda m: F.struct(
-                    m["lat"].alias("lat"), m["lng"].alias("lng"),
-                    F.array_append(acc["pts"], point(m)).alias("pts"),
-                ),
-            )
-
-        count = F.floor(F.size(d) / 2).cast("int")
-        return F.aggregate(indices(count), start, step, lambda acc: acc["pts"])
-
-    def decode(t: Column) -> Column:
-        ok = (
-            (F.size(t) % 2 == 0) & (F.length(F.array_join(t, "")) == F.length(encoded))
-            & ~F.exists(t, lambda n: F.length(n) > MOST_DIGITS)
-        )
-        return F.when(ok, let(F.transform(t, number), points)).otherwise(F.array().cast(POINTS))
-
-    return F.coalesce(let(texts, decode), F.array().cast(POINTS))
+    return paths.decoder(float(10**precision))(encoded)
 
 
 def encode_number(delta: Column) -> Column:
@@ -145,27 +103,8 @@ def grid(value: Column, precision: int) -> Column:
 
 
 def encode_polyline(points: Column, precision: int = 5) -> Column:
-    cells = F.transform(
-        points,
-        lambda p: F.struct(
-            grid(p["lat"], precision).alias("lat"), grid(p["lng"], precision).alias("lng")
-        ),
-    )
-
-    def text(c: Column) -> Column:
-        def one(i: Column) -> Column:
-            before = F.get(c, i - 1)
-            zero = F.lit(0).cast("bigint")
-            return F.concat(
-                *[
-                    encode_number(F.get(c, i)[axis] - F.coalesce(before[axis], zero))
-                    for axis in ("lat", "lng")
-                ]
-            )
-
-        return F.concat_ws("", F.transform(indices(F.size(c)), one))
-
-    return let(cells, text)
+    """Encoded path, on batches: not inside a higher-order function."""
+    return paths.encoder(float(10**precision))(points)
 
 
 # --- poses ------------------------------------------------------------------
@@ -175,62 +114,17 @@ def _pose(lat: Column, lng: Column, heading: Column) -> Column:
     return F.struct(lat.alias("lat"), lng.alias("lng"), heading.alias("heading"))
 
 
-def _heading(a: Column, b: Column) -> Column:
-    same = (a["lat"] == b["lat"]) & (a["lng"] == b["lng"])
-    return F.when(same, F.lit(0.0)).otherwise(_between(bearing_deg, a, b))
-
-
 def poses_at_remaining(points: Column, step_len: Column, targets: Column) -> Column:
     """array of struct(remaining_m, lat, lng, heading), one per target.
 
-    A target exactly on a vertex belongs to the segment that ends there.
+    A target exactly on a vertex belongs to the segment that ends there.  The
+    poses of a batch are placed at once: not inside a higher-order function.
     """
-
-    def all_targets(p: Column, lens: Column, cum: Column) -> Column:
-        last = F.size(p) - 1
-        total = F.when(step_len > 0, step_len.cast("double")).otherwise(F.get(cum, last))
-
-        def at(rem: Column) -> Column:
-            s = F.greatest(F.lit(0.0), F.least(total, total - rem.cast("double")))
-
-            def inside(s: Column) -> Column:
-                hit = F.get(
-                    F.filter(indices(last), lambda i: F.get(cum, i + 1) >= s), F.lit(0)
-                )
-                return let(F.coalesce(hit, last - 1), lambda i: on_segment(s, i))
-
-            def on_segment(s: Column, i: Column) -> Column:
-                a, b = F.get(p, i), F.get(p, i + 1)
-                part = (s - F.get(cum, i)) / F.coalesce(F.nullif(F.get(lens, i), F.lit(0.0)), F.lit(1.0))
-                where = lambda axis: (
-                    F.when(s <= 0, F.get(p, F.lit(0))[axis])
-                    .when(s >= F.get(cum, last), F.get(p, last)[axis])
-                    .otherwise(a[axis] + (b[axis] - a[axis]) * part)
-                )
-                return _pose(where("lat"), where("lng"), _heading(a, b))
-
-            pose = (
-                F.when(F.size(p) >= 2, let(s, inside))
-                .when(
-                    F.size(p) == 1,
-                    _pose(F.get(p, F.lit(0))["lat"], F.get(p, F.lit(0))["lng"], F.lit(0.0)),
-                )
-                .otherwise(_pose(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
-            )
-            return let(
-                pose,
-                lambda q: F.struct(
-                    rem.alias("remaining_m"), q["lat"].alias("lat"),
-                    q["lng"].alias("lng"), q["heading"].alias("heading"),
-                ),
-            )
-
-        return F.transform(targets, at)
-
-    return let(
-        points,
-        lambda p: let(
-            segment_lengths(p), lambda lens: let(cumulative(lens), lambda cum: all_targets(p, lens, cum))
+    placed = paths.poses(points, step_len.cast("double"), targets.cast("array<double>"))
+    return F.zip_with(
+        targets, placed,
+        lambda rem, q: F.struct(
+            rem.alias("remaining_m"), q["lat"].alias("lat"), q["lng"].alias("lng"), q["heading"].alias("heading")
         ),
     )
 
@@ -250,8 +144,10 @@ def map_pose(
 ) -> Column:
     """Car pose on a map: 20 m before the end, the midpoint of a short path."""
 
-    def choose(p: Column, lens: Column, total: Column) -> Column:
-        back = F.when(total < 40.0, total / 2.0).otherwise(F.lit(20.0))
+    total = paths.length(points)
+    near = pose_at_remaining(points, F.lit(0.0), F.when(total < 40.0, total / 2.0).otherwise(F.lit(20.0)))
+
+    def standing(p: Column, lens: Column) -> Column:
         moving = F.get(F.filter(indices(F.size(lens)), lambda i: F.get(lens, i) > 0.05), F.lit(0))
         first = F.get(p, F.lit(0))
         heading = F.coalesce(
@@ -260,27 +156,12 @@ def map_pose(
             fallback_heading.cast("double"),
             F.lit(0.0),
         )
-        fallback = _pose(
-            F.coalesce(start_lat, first["lat"], F.lit(0.0)),
-            F.coalesce(start_lng, first["lng"], F.lit(0.0)),
-            heading,
-        )
-        near = let(
-            pose_at_remaining(p, F.lit(0.0), back),
-            lambda q: _pose(q["lat"], q["lng"], q["heading"]),
+        return _pose(
+            F.coalesce(start_lat, first["lat"], F.lit(0.0)), F.coalesce(start_lng, first["lng"], F.lit(0.0)), heading
         )
-        return F.when(total > 0, near).otherwise(fallback)
 
-    return let(
-        points,
-        lambda p: let(
-            segment_lengths(p),
-            lambda lens: let(
-                F.aggregate(lens, F.lit(0.0), lambda acc, x: acc + x),
-                lambda total: choose(p, lens, total),
-            ),
-        ),
-    )
+    fallback = let(points, lambda p: let(segment_lengths(p), lambda lens: standing(p, lens)))
+    return F.when(total > 0, _pose(near["lat"], near["lng"], near["heading"])).otherwise(fallback)
 
 
 def map_pose_40(

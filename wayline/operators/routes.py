@@ -54,10 +54,9 @@ def normalise_steps(steps: DataFrame) -> DataFrame:
     out = steps.withColumn("instruction", instruction).withColumn(
         "points", geo.decode_polyline(F.col("encoded"))
     )
-    out = out.withColumn("_bearings", geo.segment_bearings(F.col("points")))
-    whole_bearing = lambda at: F.coalesce(
-        F.floor(F.try_element_at("_bearings", F.lit(at))).cast("int"), F.lit(0)
-    )
+    # only the first and the last segment are asked for
+    bearing = lambda a, b: F.coalesce(F.floor(geo.bearing_deg(a["lat"], a["lng"], b["lat"], b["lng"])).cast("int"), F.lit(0))
+    at = lambda i: F.try_element_at("points", F.lit(i))
     return out.withColumns(
         {
             "street_names": N.street_names(F.col("instruction")),
@@ -66,10 +65,10 @@ def normalise_steps(steps: DataFrame) -> DataFrame:
             "static_duration": F.concat(F.col("duration_s").cast("string"), F.lit("s")),
             "length_km": F.col("distance_m") / 1000.0,
             "continue_text": N.continue_text(F.col("distance_m")),
-            "bearing_after": whole_bearing(1),
-            "bearing_before": whole_bearing(-1),
+            "bearing_after": bearing(at(1), at(2)),
+            "bearing_before": bearing(at(-2), at(-1)),
         }
-    ).drop("_bearings")
+    )
 
 
 def route_totals(steps: DataFrame) -> DataFrame:
