@@ -46,6 +46,10 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_points(steps(spark, sf_dir))
+
+
+def with_points(rows: DataFrame) -> DataFrame:
     """Steps with 1 to 4 path points on a 1e-5 degree grid."""
     count = F.when(F.col("pk") % 29 == 0, 1).otherwise(2 + F.col("pk") % 3).cast("int")
     e5 = lambda c: c.cast("double") / 100000.0
@@ -53,7 +57,7 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
         e5(F.col("lat_e5") + i * F.col("q") * (F.col("pk") % 5 - 2)).alias("lat"),
         e5(F.col("lng_e5") + i * (F.col("sk") % 3) * 20).alias("lng"),
     )
-    return steps(spark, sf_dir).withColumn(
+    return rows.withColumn(
         "points", F.transform(F.sequence(F.lit(0), count - 1), point)
     )
 
