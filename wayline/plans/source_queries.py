@@ -11,7 +11,7 @@ from wayline.functions import geo
 from wayline.functions import normalize as N
 from wayline.operators import evaluation, frames as fop, joins, manifest, routes
 from wayline.plans import tables as t
-from wayline.plans.frame_queries import _NAME, _STORED, _with_frames
+from wayline.plans.frame_queries import _NAME, _STORED, _framed, _with_frames
 from wayline.plans.join_queries import manifest_rows
 from wayline.plans.oracle_views import with_views
 from wayline.plans.registry import query
@@ -24,7 +24,8 @@ C = F.col
 
 
 def _sample_rows(spark, sf):
-    rest = routes.remaining_distance(_with_frames(spark, sf))
+    # frames and points are made behind the shuffles, so these move the narrow steps only
+    rest = _framed(routes.remaining_distance(t.steps(spark, sf)))
     e5 = lambda c: C(c) / 100000.0
     return rest.select(
         N.sample_id(C("route_id"), C("step_index")).alias("id"), "route_id", "step_index", F.lit("v1.0").alias("dataset_version"),
@@ -44,7 +45,7 @@ SELECT route_id || '_step' || format('{:03d}', step_index) AS id, route_id, step
 @query("scan_samples", with_views("a_steps", "SELECT id, route_id, step_index, instruction, step_m, remaining_m FROM rows", rows=_SAMPLES))
 def _(spark, sf):
     path = new_path(spark, "samples")
-    _sample_rows(spark, sf).write.json(path)
+    writers.write_samples(_sample_rows(spark, sf), path)
     return readers.read_samples(spark, path).select(
         "id", "route_id", "step_index", "prior.instruction", C("distances.step_distance_m").alias("step_m"), C("distances.remaining_distance_m").alias("remaining_m"))
 

@@ -1,4 +1,8 @@
-"""Sinks. Nothing is rewritten in place: a changed dataset goes to a new path."""
+"""Sinks. Nothing is rewritten in place: a changed dataset goes to a new path.
+
+Whole datasets are written as gzip lines by default, since the same names stand
+in every line; Spark reads them as they are. ``compression="none"`` gives plain lines.
+"""
 
 from __future__ import annotations
 
@@ -17,14 +21,19 @@ def write_scores(scores: DataFrame, path: str) -> None:
     scores.select(*ids, packed).write.mode("errorifexists").json(path)
 
 
-def write_manifest(manifest: DataFrame, path: str) -> None:
+def write_samples(samples: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Sample rows, one JSON object per line."""
+    samples.write.mode("errorifexists").json(path, compression=compression)
+
+
+def write_manifest(manifest: DataFrame, path: str, compression: str = "gzip") -> None:
     """Manifest rows, one JSON object per line; several files when it is large."""
-    manifest.write.mode("errorifexists").json(path)
+    manifest.write.mode("errorifexists").json(path, compression=compression)
 
 
-def write_rewritten(samples: DataFrame, path: str) -> None:
+def write_rewritten(samples: DataFrame, path: str, compression: str = "gzip") -> None:
     """A full new version of the samples; the old files stay as the backup."""
-    samples.write.mode("errorifexists").json(path)
+    write_samples(samples, path, compression)
 
 
 def with_new_frames(samples: DataFrame, frames: DataFrame, key: str = "id") -> DataFrame:
