@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wayline import fixed
 from wayline.functions import paths
-from wayline.functions.core import indices, let, whole
+from wayline.functions.core import indices, let
 
 POINTS = "array<struct<lat:double,lng:double>>"
 
@@ -71,13 +71,6 @@ def path_length(points: Column) -> Column:
 # --- encoded paths ----------------------------------------------------------
 
 
-# A number is written in base 32, lowest digit first.  The character of a digit
-# tells whether another one follows: '?' to '^' close a number, '_' to '~' do not.
-DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
-CLOSING = "".join(chr(63 + d) for d in range(32))
-OPEN = "".join(chr(95 + d) for d in range(32))
-
-
 def decode_polyline(encoded: Column, precision: int = 5) -> Column:
     """Points of an encoded path; no points where the text is malformed.
 
@@ -87,21 +80,6 @@ def decode_polyline(encoded: Column, precision: int = 5) -> Column:
     return paths.decoder(float(10**precision))(encoded)
 
 
-def encode_number(delta: Column) -> Column:
-    """Text of one coordinate difference: zigzag, then base 32 from the low end."""
-
-    def text(digits: Column) -> Column:
-        head = F.substring(digits, F.lit(1), F.length(digits) - 1)
-        return F.concat(F.translate(head, DIGITS, OPEN), F.translate(F.right(digits, F.lit(1)), DIGITS, CLOSING))
-
-    z = F.when(delta < 0, -delta * 2 - 1).otherwise(delta * 2).cast("bigint")
-    return let(F.reverse(F.conv(z.cast("string"), 10, 32)), text)
-
-
-def grid(value: Column, precision: int) -> Column:
-    return whole(value * float(10**precision))
-
-
 def encode_polyline(points: Column, precision: int = 5) -> Column:
     """Encoded path, on batches: not inside a higher-order function."""
     return paths.encoder(float(10**precision))(points)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayline import fixed
-from wayline.functions import geo
+from wayline.functions import geo, paths
 from wayline.functions.core import lookup, rows_of
-from wayline.operators.ordered import WIDTH, with_neighbour
+from wayline.operators.ordered import WIDTH
 
 
 def points_of(paths: DataFrame, keys: list[str], points: str = "points") -> DataFrame:
@@ -52,31 +53,18 @@ def route_bounds(paths: DataFrame, route: str = "route_id", points: str = "point
 def points_to_polyline(
     points: DataFrame, keys: list[str], order: str = "pt_idx", precision: int = 5, width: int = WIDTH
 ) -> DataFrame:
-    """Encoded path per key from point rows.
+    """Encoded path per key from point rows; points without coordinates are left out.
 
-    Each point becomes its short text where it is; only texts are gathered, per
-    block first and then per key, because the result is one text per key.
+    Rows that lie next to one another become pieces of text where they are, at most a block of ``width`` places
+    each; only pieces are gathered by key, and joined in order as they stream by.
     """
-    cells = points.withColumns(
-        {"_la": geo.grid(F.col("lat"), precision), "_ln": geo.grid(F.col("lng"), precision)}
-    )
-    before = with_neighbour(
-        cells, keys, order, {"_pla": F.col("_la"), "_pln": F.col("_ln")}, step=-1, width=width
-    )
-    zero = F.lit(0)
-    text = F.concat(
-        geo.encode_number(F.col("_la") - F.coalesce("_pla", zero)),
-        geo.encode_number(F.col("_ln") - F.coalesce("_pln", zero)),
-    )
-    joined = lambda at, value: F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda s: s["t"]), ""
-    )
-    blocks = (
-        before.select(*keys, F.col(order).alias("at"), text.alias("t"))
-        .withColumn("b", F.floor(F.col("at") / width))
-        .groupBy(*keys, "b").agg(joined("at", "t").alias("t"))
-    )
-    return blocks.groupBy(*keys).agg(joined("b", "t").alias("encoded"))
+    rows = points.select(*keys, order, F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"))
+    own = [rows.schema[k] for k in keys]
+    number = [T.StructField(n, T.LongType()) for n in ("_at", *paths.CELLS)]
+    text = lambda name: T.StructField(name, T.StringType())
+    cut = rows.mapInArrow(paths.pieces(keys, order, float(10**precision), width), T.StructType([*own, *number, text("_t")]))
+    placed = cut.repartition(*keys).sortWithinPartitions(*keys, "_at")
+    return placed.mapInArrow(paths.linked(keys, "encoded"), T.StructType([*own, text("encoded")]))
 
 
 # --- roads near a point -------------------------------------------------------

@@ -57,9 +57,7 @@ def with_points(rows: DataFrame) -> DataFrame:
         e5(F.col("lat_e5") + i * F.col("q") * (F.col("pk") % 5 - 2)).alias("lat"),
         e5(F.col("lng_e5") + i * (F.col("sk") % 3) * 20).alias("lng"),
     )
-    return rows.withColumn(
-        "points", F.transform(F.sequence(F.lit(0), count - 1), point)
-    )
+    return rows.withColumn("points", F.slice(F.array(*[point(F.lit(i)) for i in range(4)]), F.lit(1), count))
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
