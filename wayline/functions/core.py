@@ -46,7 +46,7 @@ def lookup(table: Mapping, key: Column) -> Column:
 
 def whole(col: Column) -> Column:
     """Round half to even and return a whole number."""
-    return F.bround(col.cast("double"), 0).cast("bigint")
+    return F.rint(col.cast("double")).cast("bigint")
 
 
 def indices(n: Column) -> Column:

@@ -18,9 +18,9 @@ def _positive_distinct(values: Column) -> Column:
 
 def clamp_targets(step_len: Column, targets: list[int]) -> Column:
     d = F.coalesce(step_len.cast("double"), F.lit(0.0))
-    wanted = F.array(*[F.lit(float(t)) for t in targets])
-    clamped = F.transform(wanted, lambda t: F.least(d, t))
-    return F.when(d > 0, _positive_distinct(clamped)).otherwise(F.array().cast(NONE))
+    # no lambda: the array is made in compiled code
+    clamped = F.array(*[whole(F.greatest(F.least(d, F.lit(float(t))), F.lit(0.0))).cast("int") for t in targets])
+    return F.when(d > 0, F.array_remove(F.array_distinct(clamped), 0)).otherwise(F.array().cast(NONE))
 
 
 def spaced_targets(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline import fixed
@@ -10,6 +10,7 @@ from wayline.functions import frames as fr
 from wayline.functions import geo
 from wayline.functions import normalize as N
 from wayline.functions.core import present
+from wayline.operators.joins import PATH_HASH, with_existence, with_path_hash
 from wayline.operators.ordered import first_by
 
 
@@ -91,7 +92,7 @@ def step_frame_names(
     start: float | None = None, end: float | None = None,
 ) -> DataFrame:
     """Adds ``names``: the file names of ``resolve_step_frames`` without any pose."""
-    names = lambda frames: F.transform(frames, lambda f: f["filename"])
+    names = lambda frames: frames["filename"]
     stored = F.coalesce("frames", F.array().cast(f"array<{FRAME}>"))
     if profile == "manifest":
         closest = F.array(fr.closest_frame(stored))
@@ -155,16 +156,24 @@ def regenerate_plan(
     ``desired`` and ``stored`` hold (sample_id, path) of wanted and listed
     frames, ``files`` the paths that exist.
     """
-    side = lambda df, name: df.select("sample_id", "path").distinct().withColumn(name, F.lit(True))
-    both = side(desired, "_want").join(side(stored, "_have"), ["sample_id", "path"], "full")
-    there = files.select("path").distinct().withColumn("_there", F.lit(True))
-    out = both.join(there, "path", "left")
-    skip = F.lit(not replace) & F.coalesce("_there", F.lit(False))
+    side = lambda df, wanted: df.select("sample_id", "path", F.lit(wanted).alias("wanted"))
+    return plan_of_listed(side(desired, True).unionByName(side(stored, False)), files, replace)
+
+
+def plan_of_listed(listed: DataFrame, files: DataFrame, replace: bool = False) -> DataFrame:
+    """``regenerate_plan`` over one table of (sample_id, path, wanted).
+
+    A frame that is both wanted and listed counts as wanted.  The rows move once and are sorted once, by path:
+    for the first row of a frame and for the join with the files.
+    """
+    own = Window.partitionBy(PATH_HASH, "path", "sample_id").orderBy(F.col("wanted").desc())
+    rows = with_path_hash(listed.select("sample_id", "path", "wanted"))
+    found = with_existence(rows.withColumn("_n", F.row_number().over(own)).where(F.col("_n") == 1), files, "_there")
     action = (
-        F.when(F.col("_want") & skip, "skip").when(F.col("_want"), "download")
-        .when(F.coalesce("_there", F.lit(False)), "stale").otherwise("gone")
+        F.when(F.col("wanted") & F.lit(not replace) & F.col("_there"), "skip").when(F.col("wanted"), "download")
+        .when(F.col("_there"), "stale").otherwise("gone")
     )
-    return out.select("sample_id", "path", action.alias("action"))
+    return found.select("sample_id", "path", action.alias("action"))
 
 
 def regenerate_totals(plan: DataFrame) -> DataFrame:
