@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayline import fixed
 from wayline.functions.core import present, rows_of
 from wayline.functions.normalize import city_of_sample
+from wayline.operators.joins import with_existence, with_path_hash
 from wayline.operators.ordered import dense_ordinal
 
 
@@ -95,17 +96,16 @@ def select_frames(samples: DataFrame, files: DataFrame, keys: list[str]) -> Data
         .otherwise(F.col("frames"))
     )
     base = samples.withColumn("selected", chosen).withColumn("n_selected", F.size("selected").cast("bigint"))
-    inventory = files.select("path").distinct().withColumn("_there", F.lit(1).cast("bigint"))
-    existing = (
-        rows_of(base, keys, "selected", item="path").select(*keys, "path")
-        .join(inventory, "path")
-        .groupBy(*keys).agg(F.sum("_there").alias("n_existing"))
-    )
-    maps = base.select(*keys, F.col("overhead").alias("path")).join(inventory, "path").select(
-        *keys, F.lit(True).alias("has_map")
+    # frames and map of a sample ask for their paths in one table, the map behind the frames
+    asked = F.concat(F.coalesce("selected", F.array().cast("array<string>")), F.array("overhead"))
+    rows = rows_of(base.withColumn("_asked", asked), [*keys, "n_selected"], "_asked", item="path")
+    is_map = F.col("_i") == F.coalesce("n_selected", F.lit(0))
+    wanted = with_path_hash(rows.select(*keys, "path", is_map.alias("_map")).where(F.col("path").isNotNull()))
+    existing = with_existence(wanted, files, "_there").where("_there").groupBy(*keys).agg(
+        F.count_if(~F.col("_map")).alias("n_existing"), F.bool_or("_map").alias("has_map")
     )
     need = F.when((F.col("modality") == "video + prior") & present(F.col("augment")).isNull(), 2).otherwise(1)
-    out = base.join(existing, keys, "left").join(maps, keys, "left")
+    out = base.join(existing, keys, "left")
     n, has_map = F.coalesce("n_existing", F.lit(0)).cast("bigint"), F.coalesce("has_map", F.lit(False))
     return out.withColumn("n_existing", n).withColumn("has_map", has_map).withColumn(
         "runnable", F.col("has_map") & ((F.col("modality") == "prior") | (F.col("n_existing") >= need))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from wayline import fixed
 from wayline.functions import normalize as N
+from wayline.functions.core import rows_of
 from wayline.operators import routes, selection
 from wayline.plans import tables as t
 from wayline.plans.oracle_views import with_views
@@ -404,14 +405,12 @@ def _(spark, sf):
         *KEY, "pk",
         F.when(pk % 3 == 0, "video + prior").when(pk % 3 == 1, "image + prior").otherwise("prior").alias("modality"),
         F.when(pk % 5 == 0, "fog").alias("augment"),
-        F.when(pk % 4 > 0, F.transform(F.sequence(F.lit(0), (pk % 4 - 1).cast("int")), name))
-        .otherwise(F.array().cast("array<string>")).alias("frames"),
+        F.slice(F.array(*[name(F.lit(i)) for i in range(3)]), F.lit(1), (pk % 4).cast("int")).alias("frames"),
         F.concat(F.lit("maps/"), F.col("route_id"), F.lit("_"), F.col("step_index").cast("string")).alias("overhead"),
     )
-    frames = base.select("pk", F.posexplode("frames").alias("i", "path"))
-    files = frames.where((F.col("pk") + F.col("i")) % 3 != 0).select("path").unionByName(
-        base.where(pk % 6 != 0).select(F.col("overhead").alias("path"))
-    )
+    # the map of a step stands behind its frames
+    stored = rows_of(base.withColumn("paths", F.concat("frames", F.array("overhead"))), ["pk"], "paths", "i", "path")
+    files = stored.where(F.when(F.col("i") < pk % 4, (pk + F.col("i")) % 3 != 0).otherwise(pk % 6 != 0)).select("path")
     return selection.select_frames(base, files, KEY).select(*KEY, "n_selected", "n_existing", "runnable")
 
 
