@@ -199,11 +199,12 @@ def _(spark, sf):
     return out.select("sample_id", "instruction", "gt_instruction", "next_action", "frame")
 
 
-def targets(spark, sf):
-    """Manifest target frames, one row each, and the files that are there."""
+def targets(spark, sf, empty=False):
+    """Manifest target frames, one row each, and the files that are there; ``empty`` keeps a row of steps without any."""
     steps = fop.step_frame_names(_with_frames(spark, sf), "sparse4")
-    rows = rows_of(steps, ["route_id", "step_index", "pk"], "names", item="filename")
-    return rows, rows.where(F.col("pk") % 3 == 0).select("filename")
+    every = steps.select("route_id", "step_index", "pk", F.explode_outer("names").alias("filename"))
+    rows = every.where(F.col("filename").isNotNull())
+    return every if empty else rows, rows.where(F.col("pk") % 3 == 0).select("filename")
 
 
 TARGETS = f"""
