@@ -156,9 +156,9 @@ def road_info(road: Column) -> Column:
     )
 
 
-def attach_roads(points: DataFrame, roads: DataFrame, radius_m: float = 20.0) -> DataFrame:
-    """Every point row with the road of its rounded place (null without one)."""
-    found = roads_near(points, roads, radius_m)
+def attach_roads(points: DataFrame, roads: DataFrame, radius_m: float = 20.0, asked: DataFrame | None = None) -> DataFrame:
+    """Every point row with the road of its rounded place (null without one); ``asked`` are rows with the places of all points."""
+    found = roads_near(points if asked is None else asked, roads, radius_m)
     keyed = points.withColumns({"_la": F.bround("lat", 5), "_ln": F.bround("lng", 5)})
     found = found.withColumnsRenamed({"lat": "_la", "lng": "_ln"})
     return keyed.join(found, ["_la", "_ln"], "left").drop("_la", "_ln")

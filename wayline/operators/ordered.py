@@ -17,7 +17,7 @@ from wayline.workspace import durable
 WIDTH = 4096
 _HIDDEN = "_cut_"
 # stands for a null key, so that joins and windows can use plain equality
-_NO_KEY = {"string": "\u0000", "int": -(1 << 31), "bigint": -(1 << 63)}
+NO_KEY = {"string": "\u0000", "int": -(1 << 31), "bigint": -(1 << 63)}
 
 
 def _names(keys: list[str], order: str, width: int) -> list[str]:
@@ -25,18 +25,22 @@ def _names(keys: list[str], order: str, width: int) -> list[str]:
     return [f"{tag}{k}" for k in keys] + [f"{tag}block"]
 
 
-def cut(df: DataFrame, keys: list[str], order: str, width: int = WIDTH) -> DataFrame:
+def cut(df: DataFrame, keys: list[str], order: str, width: int = WIDTH, whole: bool = False) -> DataFrame:
     """Add the hidden block columns once, for several ordered steps in a row.
 
     Steps that find them neither add nor drop them and share one shuffle; take
-    them off with ``uncut``.
+    them off with ``uncut``.  ``whole`` is for rows that already lie in one task
+    per key: each key is one block, so nothing is summed up over blocks.
     """
     names = _names(keys, order, width)
     if names[-1] in df.columns:
         return df
     types = dict(df.dtypes)
-    safe = {n: F.coalesce(k, F.lit(_NO_KEY[types[k]]).cast(types[k])) for n, k in zip(names, keys)}
-    return df.withColumns(safe | {names[-1]: F.floor(F.col(order) / F.lit(width))})
+    safe = {n: F.coalesce(k, F.lit(NO_KEY[types[k]]).cast(types[k])) for n, k in zip(names, keys)}
+    # block 0 is the first one: no row lies before it
+    first = F.lit(0).cast("bigint")
+    block = first if whole else F.when(F.col(order).isNotNull(), F.greatest(F.floor(F.col(order) / F.lit(width)), first))
+    return df.withColumns(safe | {names[-1]: block})
 
 
 def uncut(df: DataFrame) -> DataFrame:
@@ -62,6 +66,8 @@ def running_sums(
 
     ``reverse`` sums from this row to the end.  Null values count as zero.  The
     rows are shuffled once; the block totals come from a second, narrow read.
+    In reverse the first block is behind no other one, so only rows of later
+    blocks are summed up: none, where no key has more than one.
     """
     on = _names(keys, order, width)
     was_cut = on[-1] in df.columns
@@ -73,17 +79,21 @@ def running_sums(
         W.partitionBy(*on).orderBy(direction(order))
         .rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     )
-    before = (
-        W.partitionBy(*on[:-1]).orderBy(direction(on[-1])).rowsBetween(W.unboundedPreceding, -1)
-    )
-    totals = (
-        base.groupBy(*on)
-        .agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
-        .withColumns({f"_o_{n}": F.sum(f"_t_{n}").over(before) for n in values})
-        # the first block of a key needs no offset: usually nothing is left to join
-        .where(F.coalesce(*[F.col(f"_o_{n}") for n in values]).isNotNull())
-        .select(*on, *[f"_o_{n}" for n in values])
-    )
+    by_block = W.partitionBy(*on[:-1]).orderBy(direction(on[-1]))
+    summed = lambda rows: rows.groupBy(*on).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    offsets = lambda last: {f"_o_{n}": F.sum(f"_t_{n}").over(by_block.rowsBetween(W.unboundedPreceding, last)) for n in values}
+    if reverse:
+        # a block and all behind it are the offset of the block before it, which may be the first
+        totals = summed(base.where(F.col(on[-1]) > 0)).withColumns(
+            offsets(0) | {"_to": F.coalesce(F.lead(on[-1]).over(by_block), F.lit(0).cast("bigint"))}
+        ).select(*on[:-1], F.col("_to").alias(on[-1]), *[f"_o_{n}" for n in values])
+    else:
+        totals = (
+            summed(base).withColumns(offsets(-1))
+            # the first block of a key needs no offset: usually nothing is left to join
+            .where(F.coalesce(*[F.col(f"_o_{n}") for n in values]).isNotNull())
+            .select(*on, *[f"_o_{n}" for n in values])
+        )
     local = base.withColumns({n: F.sum(f"_v_{n}").over(inside) for n in values})
     joined = _attach(local, totals, on, was_cut)
     zero = F.lit(0)
@@ -112,13 +122,19 @@ def with_neighbour(
     base = cut(df, keys, order, width).withColumn("_own", packed)
     shift = F.lead if step == 1 else F.lag
     edge = F.min if step == 1 else F.max  # structs compare by _at first
-    edges = base.groupBy(*on).agg(edge("_own").alias("_edge"))
     by_block = W.partitionBy(*on[:-1]).orderBy(on[-1])
-    edges = (
-        edges.withColumn("_beyond", shift("_edge").over(by_block))
-        .where(F.col("_beyond").isNotNull())
-        .select(*on, "_beyond")
-    )
+    edged = lambda rows: rows.groupBy(*on).agg(edge("_own").alias("_edge"))
+    if step == 1:
+        # only later blocks have a row that is the next one of another block
+        edges = edged(base.where(F.col(on[-1]) > 0)).select(
+            *on[:-1], F.coalesce(F.lag(on[-1]).over(by_block), F.lit(0).cast("bigint")).alias(on[-1]), F.col("_edge").alias("_beyond")
+        )
+    else:
+        edges = (
+            edged(base).withColumn("_beyond", shift("_edge").over(by_block))
+            .where(F.col("_beyond").isNotNull())
+            .select(*on, "_beyond")
+        )
     inside = W.partitionBy(*on).orderBy(order)
     local = base.withColumn("_near", shift("_own").over(inside))
     joined = _attach(local, edges, on, was_cut)

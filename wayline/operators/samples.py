@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +50,8 @@ ROAD_FIELDS = ["highway", "ref", "maxspeed", "lanes", "surface", "oneway", "lit"
 
 
 def build_samples(
-    steps: DataFrame, roads: DataFrame, created_at: Column, profile: str = "sparse4", radius_m: float = 20.0
+    steps: DataFrame, roads: DataFrame, created_at: Column, profile: str = "sparse4", radius_m: float = 20.0,
+    whole: Callable[[DataFrame], DataFrame] | None = None, places: DataFrame | None = None,
 ) -> DataFrame:
     """One nested sample row per step of the routes.
 
@@ -60,19 +63,30 @@ def build_samples(
     radius_m of the start: by distance, so a step far from any road has only the
     name its instruction gives. One order of the route serves instruction and
     distances; the road is one join by rounded place.
+
+    Rows move for the order and for the road. ``whole`` gives rows the columns of a
+    step that can be made in the row, after they have moved; before, only route_id,
+    step_index, instruction, distance_m, start_lat and start_lng are asked for.
+    ``places`` are rows with the starts of all steps, where those are read with less
+    work than the steps.
     """
     ordered = uncut(routes.remaining_distance(routes.next_step_text(cut(steps, ["route_id"], "step_index"))))
-    framed = frames.resolve_step_frames(ordered, profile)
-    near = geometry.attach_roads(framed.withColumns({"lat": F.col("start_lat"), "lng": F.col("start_lng")}), roads, radius_m)
-    info = near.withColumn("_road", F.when(F.col("road").isNotNull(), geometry.road_info(F.col("road"))))
-    streets = N.street_names(F.coalesce("instruction", F.lit("")))
-    whole = info.withColumns({
+    at = {"lat": F.col("start_lat"), "lng": F.col("start_lng")}
+    asked = None if places is None else places.withColumns(at)
+    near = geometry.attach_roads(ordered.withColumns(at), roads, radius_m, asked)
+    framed = frames.resolve_step_frames(near if whole is None else whole(near), profile)
+    # the only row of an array: made once, where a plain column would be made again in each field that uses it
+    parts = F.struct(
+        F.transform("resolved", lambda f: F.concat(F.lit("frames/"), f["filename"])).alias("_paths"),
+        F.get("resolved", F.lit(0))["heading"].alias("heading"), N.street_names(F.coalesce("instruction", F.lit(""))).alias("_streets"),
+    )
+    info = framed.withColumn("_road", F.when(F.col("road").isNotNull(), geometry.road_info(F.col("road"))))
+    info = info.drop("heading").select("*", F.inline(F.array(parts)))
+    filled = info.withColumns({
         "osm_road": F.struct(
             *[F.col(f"_road.{n}").alias(n) for n in ROAD_FIELDS],
-            N.road_name(F.col("_road.name"), streets, F.col("instruction")).alias("name"), streets.alias("street_names"),
+            N.road_name(F.col("_road.name"), F.col("_streets"), F.col("instruction")).alias("name"), F.col("_streets").alias("street_names"),
         ),
         "polyline": geo.encode_polyline(F.col("points")),
-        "heading": F.get("resolved", F.lit(0))["heading"],
     })
-    paths = F.transform("resolved", lambda f: F.concat(F.lit("frames/"), f["filename"]))
-    return nested_rows(whole, "google", created_at, "effective_instruction", paths)
+    return nested_rows(filled, "google", created_at, "effective_instruction", F.col("_paths"))

@@ -288,12 +288,19 @@ FROM route_order s JOIN enc USING (route_id, step_index) JOIN ends USING (route_
 LEFT JOIN near n ON n.lat = round_even(lat_e5 / CAST(100000 AS DOUBLE), 5) AND n.lng = round_even(lng_e5 / CAST(100000 AS DOUBLE), 5)
 LEFT JOIN a_roads r ON r.road_id = n.road_id""", near=_NEAR, chunks=_CHUNKS, enc=_ENCODED, route_order=_SAMPLE_ORDER, targets=_FIRST_TARGET, poses=POSE_SQL, ends=_ENDS))
 def _(spark, sf):
-    end = F.element_at("points", -1)
-    steps = t.paths(spark, sf).withColumns({
-        "maneuver": N.maneuver_type(F.col("maneuver_raw"), F.col("type_code")), "frames": F.lit(None).cast(f"array<{fop.FRAME}>"),
-        "start_lat": F.col("lat_e5") / 100000.0, "start_lng": F.col("lng_e5") / 100000.0, "end_lat": end["lat"], "end_lng": end["lng"], "heading": F.lit(9.0),
-    })
-    rows = samples.build_samples(steps, t.roads(spark, sf), F.lit("2024-01-01"))
+    place = {"start_lat": F.col("lat_e5") / 100000.0, "start_lng": F.col("lng_e5") / 100000.0}
+
+    def whole(rows):
+        end = F.element_at("points", -1)
+        return t.with_points(t.described(rows)).withColumns(place | {
+            "maneuver": N.maneuver_type(F.col("maneuver_raw"), F.col("type_code")), "frames": F.lit(None).cast(f"array<{fop.FRAME}>"),
+            "end_lat": end["lat"], "end_lng": end["lng"], "heading": F.lit(9.0),
+        })
+
+    # lines go through the shuffles, steps are described again behind them
+    steps = cut(t.described(t.route_lines(spark, sf)).withColumns(place), ["route_id"], "step_index", whole=True)
+    rows = samples.build_samples(
+        steps, t.roads(spark, sf), F.lit("2024-01-01"), whole=whole, places=t.steps(spark, sf).withColumns(place))
     return rows.select(
         "id", "route_id", "step_index", "dataset_version", "split", "maneuver", "prior.*", "images.overhead", F.array_join("images.frames", ",").alias("frames"),
         *[f"geometry.{n}" for n in ("step_polyline", "start_lat", "start_lng", "end_lat", "end_lng")], F.bround("geometry.heading", 3).alias("heading"),

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wayline.operators.ordered import NO_KEY
+
 STRINGS = "array<string>"
 
 
@@ -23,26 +25,61 @@ def _text(*parts) -> Column:
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per route step: route = order, step = place of the line in its order (an order has few lines)."""
-    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", F.row_number().over(place).alias("line"), F.col("l_quantity").cast("bigint").alias("q"), F.col("l_extendedprice").alias("price"),
+    place = Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER)
+    return described(_lines(spark, sf_dir).withColumn("line", F.row_number().over(place))).select(*STEP)
+
+
+def route_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that ``described`` makes the rows of ``steps`` of, laid by the name of their route.
+
+    That is the key of ``ordered.cut``, so ordered steps over routes move nothing again.  The order of the lines
+    names all columns: every read then shuffles the same ones, and all reads of a plan share one shuffle.
+    """
+    route = route_key(_route(F.col("l_orderkey")))
+    place = Window.partitionBy("l_orderkey", route).orderBy(*_LINE_ORDER, "q", "rf")
+    return _lines(spark, sf_dir).repartition(route).withColumn("line", F.row_number().over(place))
+
+
+def route_key(route_id: Column) -> Column:
+    """What ``route_lines`` lays rows by."""
+    return F.coalesce(route_id, F.lit(NO_KEY["string"]))
+
+
+STEP = [
+    "route_id", "step_index", "distance_m", "duration_s", "type_code", "maneuver_raw", "lat_e5", "lng_e5", "instruction",
+    "q", "pk", "sk", "rf",
+]
+LINE = ["l_orderkey", "line", "q", "price", "pk", "sk", "rf"]
+_LINE_ORDER = ["l_linenumber", "pk", "sk", "price", "l_shipdate"]
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_shipdate", F.col("l_quantity").cast("bigint").alias("q"), F.col("l_extendedprice").alias("price"),
         F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"), F.col("l_returnflag").alias("rf"),
     )
-    return lines.select(
-        _text("city", F.col("l_orderkey") % 5, "_route", F.col("l_orderkey")).alias("route_id"),
-        (F.col("line") - 1).cast("int").alias("step_index"),
-        (F.col("q") * 5).cast("int").alias("distance_m"),
-        F.floor(F.col("price") / 1000.0).cast("int").alias("duration_s"),
-        (F.col("pk") % 31).cast("int").alias("type_code"),
-        F.when(F.col("pk") % 4 == 0, "turn-left").when(F.col("pk") % 4 == 1, "")
-        .when(F.col("pk") % 4 == 2, "ramp-right").alias("maneuver_raw"),
-        (F.lit(-2747000) + F.col("pk") % 1000 * 10).cast("bigint").alias("lat_e5"),
-        (F.lit(15302000) + F.col("sk") % 1000 * 10).cast("bigint").alias("lng_e5"),
-        F.when(F.col("rf") == "N", "").otherwise(
+
+
+def _route(order: Column) -> Column:
+    return _text("city", order % 5, "_route", order)
+
+
+def described(lines: DataFrame) -> DataFrame:
+    """Numbered lines with the columns of a step, all made in the row."""
+    return lines.withColumns({
+        "route_id": _route(F.col("l_orderkey")),
+        "step_index": (F.col("line") - 1).cast("int"),
+        "distance_m": (F.col("q") * 5).cast("int"),
+        "duration_s": F.floor(F.col("price") / 1000.0).cast("int"),
+        "type_code": (F.col("pk") % 31).cast("int"),
+        "maneuver_raw": F.when(F.col("pk") % 4 == 0, "turn-left").when(F.col("pk") % 4 == 1, "")
+        .when(F.col("pk") % 4 == 2, "ramp-right"),
+        "lat_e5": (F.lit(-2747000) + F.col("pk") % 1000 * 10).cast("bigint"),
+        "lng_e5": (F.lit(15302000) + F.col("sk") % 1000 * 10).cast("bigint"),
+        "instruction": F.when(F.col("rf") == "N", "").otherwise(
             _text("Turn ", F.lower("rf"), " onto Road ", F.col("sk"))
-        ).alias("instruction"),
-        F.col("q"), F.col("pk"), F.col("sk"), F.col("rf"),
-    )
+        ),
+    })
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
