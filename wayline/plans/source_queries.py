@@ -10,6 +10,7 @@ from wayline import schemas
 from wayline.functions import geo
 from wayline.functions import normalize as N
 from wayline.operators import evaluation, frames as fop, joins, manifest, routes
+from wayline.operators.ordered import cut, uncut
 from wayline.plans import tables as t
 from wayline.plans.frame_queries import _NAME, _STORED, _framed, _with_frames
 from wayline.plans.join_queries import manifest_rows
@@ -25,15 +26,19 @@ C = F.col
 
 def _sample_rows(spark, sf):
     # frames and points are made behind the shuffles, so these move the narrow steps only
-    rest = _framed(routes.remaining_distance(t.steps(spark, sf)))
+    return _stored(routes.remaining_distance(t.steps(spark, sf)))
+
+
+def _stored(steps, *more):
+    """Stored form of steps with the metres left on the route, and columns besides."""
     e5 = lambda c: C(c) / 100000.0
-    return rest.select(
+    return _framed(steps).select(
         N.sample_id(C("route_id"), C("step_index")).alias("id"), "route_id", "step_index", F.lit("v1.0").alias("dataset_version"),
         F.lit("train").alias("split"), N.maneuver_type(C("maneuver_raw"), C("type_code")).alias("maneuver"), F.struct("instruction").alias("prior"),
         F.struct(F.lit(None).cast("string").alias("overhead"), F.transform("frames", lambda f: f["filename"]).alias("frames")).alias("images"),
         F.struct(geo.encode_polyline(C("points")).alias("step_polyline"), e5("lat_e5").alias("start_lat"), e5("lng_e5").alias("start_lng")).alias("geometry"),
         F.struct(C("distance_m").cast("double").alias("step_distance_m"), C("remaining_distance_m").cast("double").alias("remaining_distance_m")).alias("distances"),
-        F.struct(F.when(C("pk") % 10 == 0, "old").otherwise("new").alias("source")).alias("metadata"),
+        F.struct(F.when(C("pk") % 10 == 0, "old").otherwise("new").alias("source")).alias("metadata"), *more,
     )
 
 
@@ -159,11 +164,14 @@ def _(spark, sf):
 
 @query("sink_rewrite", with_views("a_steps", "SELECT id, CASE WHEN sk % 3 = 0 THEN 'new.jpg' ELSE '' END || CASE WHEN sk % 3 <> 0 THEN CAST(n_frames AS VARCHAR) ELSE '' END AS frames FROM rows WHERE pk % 10 <> 0", rows=_SAMPLES))
 def _(spark, sf):
-    kept = _sample_rows(spark, sf).where(C("metadata.source") != "old")
-    fresh = t.steps(spark, sf).where(C("sk") % 3 == 0).select(
-        N.sample_id(C("route_id"), C("step_index")).alias("id"), F.array(F.lit("new.jpg")).alias("new_frames"))
+    # lines go through the shuffles, steps are described again and stored behind them
+    own = N.sample_id(C("route_id"), C("step_index")).alias("id")
+    steps = cut(t.described(t.route_lines(spark, sf)), ["route_id"], "step_index", whole=True)
+    rest = uncut(routes.remaining_distance(steps)).select(own, *t.LINE, "remaining_distance_m")
+    fresh = steps.where(C("sk") % 3 == 0).select(own, F.array(F.lit("new.jpg")).alias("new_frames"))
+    samples = writers.with_new_frames(rest, fresh, whole=lambda rows: _stored(t.described(rows), "new_frames"))
     path = new_path(spark, "rewritten")
-    writers.write_rewritten(writers.with_new_frames(kept, fresh), path)
+    writers.write_rewritten(samples.where(C("metadata.source") != "old"), path)
     frames = F.coalesce("images.frames", F.array().cast("array<string>"))
     shown = F.when(F.get(frames, F.lit(0)) == "new.jpg", "new.jpg").otherwise(F.size(frames).cast("string"))
     return readers.read_samples(spark, path).select("id", shown.alias("frames"))

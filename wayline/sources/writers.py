@@ -6,6 +6,8 @@ in every line; Spark reads them as they are. ``compression="none"`` gives plain
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +38,15 @@ def write_rewritten(samples: DataFrame, path: str, compression: str = "gzip") ->
     write_samples(samples, path, compression)
 
 
-def with_new_frames(samples: DataFrame, frames: DataFrame, key: str = "id") -> DataFrame:
+def with_new_frames(
+    samples: DataFrame, frames: DataFrame, key: str = "id", whole: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Samples with replaced frame lists; a sample without new frames keeps its own.
 
-    ``frames`` is one row per sample with ``new_frames``.
+    ``frames`` is one row per sample with ``new_frames``.  ``whole`` makes the stored form of samples in the row,
+    behind the join, and keeps that column: then narrow rows with the key are joined.
     """
     out = samples.join(frames.select(key, "new_frames"), key, "left")
+    out = out if whole is None else whole(out)
     kept = F.coalesce(F.col("new_frames"), F.col("images.frames"))
     return out.withColumn("images", F.col("images").withField("frames", kept)).drop("new_frames")
