@@ -169,6 +169,12 @@ def frame_filename(
     return F.concat(name, F.lit(".jpg"))
 
 
+def route_of_frame(name: Column) -> Column:
+    """The route in the name of a frame: what stands before its last step; a name without a step is its own."""
+    behind = F.length(F.substring_index(name, "_step", -1)) + 5
+    return F.when(F.contains(name, F.lit("_step")), F.left(name, F.length(name) - behind)).otherwise(name)
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

@@ -10,7 +10,7 @@ from wayline.functions import frames as fr
 from wayline.functions import geo
 from wayline.functions import normalize as N
 from wayline.functions.core import present
-from wayline.operators.joins import PATH_HASH, with_existence, with_path_hash
+from wayline.operators.joins import PATH_HASH
 from wayline.operators.ordered import first_by
 
 
@@ -160,15 +160,29 @@ def regenerate_plan(
     return plan_of_listed(side(desired, True).unionByName(side(stored, False)), files, replace)
 
 
-def plan_of_listed(listed: DataFrame, files: DataFrame, replace: bool = False) -> DataFrame:
+def plan_of_listed(listed: DataFrame, files: DataFrame, replace: bool = False, route: str | None = None) -> DataFrame:
     """``regenerate_plan`` over one table of (sample_id, path, wanted).
 
-    A frame that is both wanted and listed counts as wanted.  The rows move once and are sorted once, by path:
-    for the first row of a frame and for the join with the files.
+    A frame that is both wanted and listed counts as wanted.  Frames and files are one table, sorted once by a hash
+    before the path: for the first row of a frame and for the file next to it.  ``route`` names the column with the
+    route in the name of each frame (``normalize.route_of_frame``), where the rows lie by it: then only files move.
     """
-    own = Window.partitionBy(PATH_HASH, "path", "sample_id").orderBy(F.col("wanted").desc())
-    rows = with_path_hash(listed.select("sample_id", "path", "wanted"))
-    found = with_existence(rows.withColumn("_n", F.row_number().over(own)).where(F.col("_n") == 1), files, "_there")
+    ids = ["sample_id", "path", "wanted"]
+    placed = F.when(F.col("path").isNull(), F.xxhash64(*ids)).otherwise(F.xxhash64("path"))
+    rows = listed.select(*ids, *([route] if route else [])).withColumns({PATH_HASH: placed, "_file": F.lit(False)})
+    there = files.select("path").where(F.col("path").isNotNull())
+    if route:
+        cut = there.select(N.route_of_frame(F.col("path")).alias(route), "path").withColumn("_rest", F.substr("path", F.length(route) + 1))
+        there = cut.select(route, "_rest").repartition(route).select(route, F.concat(route, "_rest").alias("path"))
+    there = there.withColumns({
+        "sample_id": F.lit(None).cast(listed.schema["sample_id"].dataType), "wanted": F.lit(False), PATH_HASH: F.xxhash64("path"), "_file": F.lit(True)})
+    both = rows.unionByName(there)
+    if not route:
+        both = both.repartition(PATH_HASH, "path")
+    path = [PATH_HASH, *([route] if route else []), "path"]
+    own = Window.partitionBy(*path, "sample_id", "_file").orderBy(F.col("wanted").desc())
+    first = both.withColumn("_before", F.lag(F.lit(True)).over(own)).where(F.col("_before").isNull())
+    found = first.withColumn("_there", F.max("_file").over(Window.partitionBy(*path))).where(~F.col("_file"))
     action = (
         F.when(F.col("wanted") & F.lit(not replace) & F.col("_there"), "skip").when(F.col("wanted"), "download")
         .when(F.col("_there"), "stale").otherwise("gone")
