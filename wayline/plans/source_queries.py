@@ -164,12 +164,13 @@ def _(spark, sf):
 
 @query("sink_rewrite", with_views("a_steps", "SELECT id, CASE WHEN sk % 3 = 0 THEN 'new.jpg' ELSE '' END || CASE WHEN sk % 3 <> 0 THEN CAST(n_frames AS VARCHAR) ELSE '' END AS frames FROM rows WHERE pk % 10 <> 0", rows=_SAMPLES))
 def _(spark, sf):
-    # lines go through the shuffles, steps are described again and stored behind them
-    own = N.sample_id(C("route_id"), C("step_index")).alias("id")
+    # lines go through the shuffle and meet the new frames there, steps are described again and stored behind that
+    own, route = N.sample_id(C("route_id"), C("step_index")).alias("id"), t.route_key(C("route_id")).alias("route")
     steps = cut(t.described(t.route_lines(spark, sf)), ["route_id"], "step_index", whole=True)
-    rest = uncut(routes.remaining_distance(steps)).select(own, *t.LINE, "remaining_distance_m")
-    fresh = steps.where(C("sk") % 3 == 0).select(own, F.array(F.lit("new.jpg")).alias("new_frames"))
-    samples = writers.with_new_frames(rest, fresh, whole=lambda rows: _stored(t.described(rows), "new_frames"))
+    rest = uncut(routes.remaining_distance(steps)).select(own, route, *t.LINE, "remaining_distance_m")
+    fresh = steps.where(C("sk") % 3 == 0).select(own, route, F.array(F.lit("new.jpg")).alias("new_frames"))
+    stored = lambda rows: _stored(t.described(rows, t.route_of_key(C("route"))), "new_frames")
+    samples = writers.with_new_frames(rest, fresh, whole=stored, place="route")
     path = new_path(spark, "rewritten")
     writers.write_rewritten(samples.where(C("metadata.source") != "old"), path)
     frames = F.coalesce("images.frames", F.array().cast("array<string>"))

@@ -45,11 +45,15 @@ def route_key(route_id: Column) -> Column:
     return F.coalesce(route_id, F.lit(NO_KEY["string"]))
 
 
+def route_of_key(key: Column) -> Column:
+    return F.nullif(key, F.lit(NO_KEY["string"]))
+
+
 STEP = [
     "route_id", "step_index", "distance_m", "duration_s", "type_code", "maneuver_raw", "lat_e5", "lng_e5", "instruction",
     "q", "pk", "sk", "rf",
 ]
-LINE = ["l_orderkey", "line", "q", "price", "pk", "sk", "rf"]
+LINE = ["line", "q", "price", "pk", "sk", "rf"]
 _LINE_ORDER = ["l_linenumber", "pk", "sk", "price", "l_shipdate"]
 
 
@@ -64,10 +68,10 @@ def _route(order: Column) -> Column:
     return _text("city", order % 5, "_route", order)
 
 
-def described(lines: DataFrame) -> DataFrame:
-    """Numbered lines with the columns of a step, all made in the row."""
+def described(lines: DataFrame, route_id: Column | None = None) -> DataFrame:
+    """Numbered lines with the columns of a step, all made in the row; ``route_id`` for lines without their order."""
     return lines.withColumns({
-        "route_id": _route(F.col("l_orderkey")),
+        "route_id": _route(F.col("l_orderkey")) if route_id is None else route_id,
         "step_index": (F.col("line") - 1).cast("int"),
         "distance_m": (F.col("q") * 5).cast("int"),
         "duration_s": F.floor(F.col("price") / 1000.0).cast("int"),

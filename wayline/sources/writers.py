@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,14 +39,24 @@ def write_rewritten(samples: DataFrame, path: str, compression: str = "gzip") ->
 
 
 def with_new_frames(
-    samples: DataFrame, frames: DataFrame, key: str = "id", whole: Callable[[DataFrame], DataFrame] | None = None
+    samples: DataFrame, frames: DataFrame, key: str = "id", whole: Callable[[DataFrame], DataFrame] | None = None, place: str | None = None
 ) -> DataFrame:
     """Samples with replaced frame lists; a sample without new frames keeps its own.
 
     ``frames`` is one row per sample with ``new_frames``.  ``whole`` makes the stored form of samples in the row,
-    behind the join, and keeps that column: then narrow rows with the key are joined.
+    behind the join, and keeps that column: then narrow rows with the key are joined.  ``place`` names a column that
+    rows of the same key agree in and both tables lie by: then they meet where they are, as one sorted table.
     """
-    out = samples.join(frames.select(key, "new_frames"), key, "left")
+    out = samples.join(frames.select(key, "new_frames"), key, "left") if place is None else _met(samples, frames, key, place)
     out = out if whole is None else whole(out)
     kept = F.coalesce(F.col("new_frames"), F.col("images.frames"))
     return out.withColumn("images", F.col("images").withField("frames", kept)).drop("new_frames")
+
+
+def _met(samples: DataFrame, frames: DataFrame, key: str, place: str) -> DataFrame:
+    """The left join of both by key, as one table ordered by place and key; a null key meets nothing."""
+    new = frames.where(F.col(key).isNotNull()).select(place, key, F.struct("new_frames").alias("_new"))
+    own = Window.partitionBy(place, key)
+    both = samples.withColumn("_own", F.lit(True)).unionByName(new, allowMissingColumns=True)
+    found = both.withColumn("_found", F.collect_list("_new").over(own)).where(F.col("_own"))
+    return found.select(*samples.columns, F.explode_outer("_found").alias("_new")).select(*samples.columns, "_new.new_frames")
